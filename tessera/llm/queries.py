@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.llm.packing import op4_packing
+from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
+from tessera.llm.tokenfiles import op6_token_files
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op6_token_files": op6_token_files,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
