@@ -6,8 +6,10 @@ from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.tokenfiles import op6_token_files
+from tessera.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
