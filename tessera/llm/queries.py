@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.html import op5_html
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_html": op5_html,
     "op6_token_files": op6_token_files,
     "op9_sharding": op9_sharding,
 }
