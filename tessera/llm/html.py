@@ -31,6 +31,7 @@ SCOPES = frozenset("html body table td th caption button article section div mai
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 # Words in class and id names that mark page furniture, and those that mark content.
 FURNITURE = re.compile(r"(?:^|[-_ ])(?:ads?|adv|advert\w*|adsense|adslot|adbox|adunit|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|sign-up|login|paywall|comment\w*|disqus|respond|replies|reply|discussion|reactions|sidebar\w*|side|rail|widget\w*|related\w*|recommend\w*|more-stories|trending|popular|share\w*|sharing|social\w*|follow|nav\w*|menu\w*|breadcrumb\w*|crumbs|pagination|pager|toolbar|masthead|topbar|site-?header|page-?header|header|site-?footer|page-?footer|footer|foot|copyright|legal|disclaimer|skip|search\w*|form|tags|tagcloud|byline-social|rating|poll|print|hidden|outbrain|taboola)(?=$|[-_ ])", re.I)
+LAYOUT = re.compile(r"(?:no|has|with|without|is|js|two|one)[-_]", re.I)
 CONTENT = re.compile(r"article|content|post|entry|story|main|body|text|blog|page", re.I)
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -55,7 +56,8 @@ def _is_furniture(name: str, attributes: str) -> tuple[bool, str]:
     if name in ("html", "body"):
         return False, hint
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-    furniture = found.get("role", "").lower() in ROLES or bool(hint and FURNITURE.search(hint))
+    named = hint and any(FURNITURE.search(x) for x in hint.split() if not LAYOUT.match(x))
+    furniture = found.get("role", "").lower() in ROLES or bool(named)
     return bool(hidden or furniture), hint
 
 
@@ -122,6 +124,9 @@ def parse(page: str) -> Node:
         furniture, hint = _is_furniture(name, attributes)
         node = Node(name, top, furniture or name in DROPPED, hint)
         top.children.append(node)
+        if name == "main" and not furniture:
+            for n in depth_of:
+                n.dropped = n.dropped and n.name in DROPPED  # what holds the main element isn't furniture, whatever it is called
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end

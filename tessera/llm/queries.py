@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.llm import decontamination
+from tessera.llm.decontamination import op7_decontamination
 from tessera.llm.html import op5_html
+from tessera.llm.langid import op10_language
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
@@ -15,7 +18,11 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_html": op5_html,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE,
+}

@@ -10,6 +10,7 @@ BODIES = [
     "<article><h1>Title</h1>{}</article>",
     '<div class="wrap"><div id="content"><h1>Title</h1>{}</div></div>',
     '<main><div class="post-body"><h1>Title</h1>{}</div></main>',
+    '<div class="layout has-sidebar"><div class="page-header"><main class="post"><h1>Title</h1>{}</main></div></div>',
     '<table><tr><td class="text"><h1>Title</h1>{}</td><td class="sidebar">x</td></tr></table>',
 ]
 
