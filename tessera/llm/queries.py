@@ -6,6 +6,7 @@ from tessera.llm import decontamination
 from tessera.llm.decontamination import op7_decontamination
 from tessera.llm.html import op5_html
 from tessera.llm.langid import op10_language
+from tessera.llm.neighbours import op8_neighbours
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
 }
