@@ -4,7 +4,7 @@ Vectors get one more component, which makes all their norms equal, so that the l
 distance. Centroids come from a bounded sample by balanced bisection. A vector goes to its nearest list and, near a
 boundary, to others as well: those within a distance ratio whose centroid is not closer to a list already chosen. A query
 walks a graph over the centroids, which is held in memory, and visits the lists within a distance ratio of its nearest
-one. Identical vectors are one entry of a list, and long lists are divided into blocks, so that no task gets an unbounded
+one; the ratio and the number of lists are measured on the sample. Identical vectors are one entry of a list, and long lists are divided into blocks, so that no task gets an unbounded
 group.
 """
 
@@ -22,10 +22,14 @@ from tessera.llm.common import bounded_batches, written
 
 #: Bounds of the fit: rows of the sample, numbers in it, and lists.
 SAMPLE_ROWS, SAMPLE_NUMBERS, MAX_LISTS = 20_000, 4_000_000, 4096
-#: Vectors that a list is planned for, copies of a boundary vector at most, and their distance ratio.
-LIST_ROWS, REPLICAS, BOUNDARY_RATIO = 256, 6, 1.15
-#: Edges of a centroid in the graph, lists that a query visits at least and at most, and their distance ratio.
-DEGREE, LEAST_LISTS, MOST_LISTS, VISIT_RATIO = 24, 12, 96, 1.25
+#: Vectors that a list is planned for, copies of a boundary vector at most, their distance ratio, and how far the centroids
+#: of two lists of a vector must lie apart, as a share of its distance.
+LIST_ROWS, REPLICAS, BOUNDARY_RATIO, APART = 256, 4, 1.15, 0.5
+#: Edges of a centroid in the graph, and lists that a query visits at least.
+DEGREE, LEAST_LISTS = 24, 12
+#: How many lists a query visits at most, and within which distance ratio, is measured on the sample: so many that this
+#: share of the true neighbours of TRIALS of its vectors is met.
+COVERED, TRIALS = 0.97, 200
 #: Vectors, and queries, that a task compares at once.
 BLOCK = 2048
 
@@ -55,11 +59,14 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Centroids, the graph that joins each to its nearest and to two random others, and the largest squared norm."""
+    """Centroids, the graph that joins each to its nearest and to two random others, the largest squared norm, and the
+    lists a query visits at most and their distance ratio."""
 
     points: np.ndarray
     graph: np.ndarray
     norm2: float
+    most: int = LEAST_LISTS
+    ratio: float = 1.0
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm2 - (x * x).sum(1), 0))
@@ -76,7 +83,7 @@ class Centroids:
         for j in range(1, k):
             for i in range(j):
                 apart = np.sqrt(((self.points[near[:, j]] - self.points[near[:, i]]) ** 2).sum(1))
-                ok[:, j] &= ~ok[:, i] | (apart >= own[:, j])
+                ok[:, j] &= ~ok[:, i] | (apart >= APART * own[:, j])
         rows, cols = np.nonzero(ok)
         return rows, near[rows, cols]
 
@@ -84,7 +91,7 @@ class Centroids:
         """Row numbers and lists of queries: a best-first walk over the graph, all queries in step."""
         n, k = len(q), len(self.points)
         x = self.lifted(q, query=True)
-        width = min(MOST_LISTS, k)
+        width = min(self.most, k)
         seen = np.zeros((n, k), bool)
         start = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
         ids = np.tile(start, (n, 1))
@@ -113,7 +120,7 @@ class Centroids:
                 ids, dist, opened = (np.take_along_axis(a, keep, 1) for a in (ids, dist, opened))
         order = np.argsort(dist, 1, kind="stable")
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        ok = np.isfinite(dist) & ((dist <= VISIT_RATIO * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_LISTS))
+        ok = np.isfinite(dist) & ((dist <= self.ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_LISTS))
         rows, cols = np.nonzero(ok)
         return rows, ids[rows, cols]
 
@@ -136,7 +143,32 @@ def fit_centroids(sample: np.ndarray, total: int, norm2: float, seed: int = 7) -
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, 1, kind="stable")[:, : min(DEGREE, max(1, k - 1))]
     ring = np.arange(k)[:, None]
-    return Centroids(points, np.concatenate([near, (ring + 1) % k, rng.integers(0, k, (k, 2))], 1), norm2)
+    found = Centroids(points, np.concatenate([near, (ring + 1) % k, rng.integers(0, k, (k, 2))], 1), norm2)
+    _calibrate(found, sample, rng)
+    return found
+
+
+def _calibrate(c: Centroids, sample: np.ndarray, rng: np.random.Generator, k: int = 20) -> None:
+    """Sets how many lists, and within which ratio, a query has to visit to meet its neighbours in the sample."""
+    asked = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
+    parts = [c.lists_of(sample[a : a + 512]) for a in range(0, len(sample), 512)]
+    rows = np.concatenate([r + 512 * i for i, (r, _) in enumerate(parts)])
+    lists = np.concatenate([x for _, x in parts])
+    first = np.searchsorted(rows, np.arange(len(sample) + 1))
+    d = _distances(c.lifted(sample[asked], query=True), c.points)
+    place = d.argsort(1, kind="stable").argsort(1, kind="stable")
+    scores = sample[asked] @ sample.T
+    needed, ratios = [], []
+    for i, own in enumerate(asked.tolist()):
+        scores[i, own] = -np.inf
+        for n in np.argsort(-scores[i], kind="stable")[: min(k, len(sample) - 1)].tolist():
+            of = lists[first[n] : first[n + 1]]
+            best = of[place[i, of].argmin()]
+            needed.append(place[i, best] + 1)
+            ratios.append(d[i, best] / max(d[i].min(), 1e-12))
+    if needed:
+        c.most = max(LEAST_LISTS, int(np.quantile(needed, COVERED)) + 1)
+        c.ratio = 1e-9 + float(np.quantile(ratios, 1 - (1 - COVERED) / 3))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
