@@ -10,11 +10,13 @@ from tessera.llm.neighbours import op8_neighbours
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op9_sharding
 from tessera.llm.simhash import op3_simhash
+from tessera.llm.suffixes import op2_suffixes
 from tessera.llm.tokenfiles import op6_token_files
 from tessera.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffixes": op2_suffixes,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_html": op5_html,
