@@ -133,6 +133,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs."""
+    postings, seeded, n_windows = build_index(docs.select(F.col(text_col).alias("text")), benchmark, [], "text", item_col, item_text_col, size)
+    hit = written(phrase_matches(postings, seeded, n_windows).select(F.col("rid").alias("__rid")).distinct(), "decontamination-hit")
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())  # as in the index: numbered by the same scan
+    return rows.join(_small(hit, hit.count(), BROADCAST_TERMS), "__rid", "left_anti").drop("__rid")
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     """The contract's digest: the whole ``documents`` table against the whole ``benchmark`` table."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

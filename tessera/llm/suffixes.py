@@ -297,11 +297,11 @@ def _merged(lanes: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Every row of ``docs`` without the bytes of strings of ``length`` bytes that start at two places or more.
 
-    Adds ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs) and ``kept`` (binary: the remaining bytes) to the columns of
-    ``docs``. Texts count as UTF-8 bytes, a null text as an empty one; strings never reach over two rows, are judged on the
+    Adds ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (binary: the remaining bytes) and ``kept_text`` (the
+    same as a string, without characters that a cut goes through) to the columns of ``docs``. Texts count as UTF-8 bytes, a null text as an empty one; strings never reach over two rows, are judged on the
     input, and may overlap. Rows that repeat an id are rows of their own, told apart by their texts; those that repeat a
     text as well repeat each other. A null id is an id. An empty table gives an empty result. Columns of ``docs`` keep their
-    names, whatever they are; the four new names replace such columns.
+    names, whatever they are; the five new names replace such columns.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs, lanes = _shards(cut, length)
     found = copies.union(runs).union(_merged(lanes))
     spans = found.groupBy("k", th.alias("th")).agg(F.collect_list("spot").alias("spots"))  # no more than a text has strings
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("k"), short.alias("th"), text.cast("binary").alias("t"))
     joined = whole.join(spans, ["k", "th"], "left").select("row", "t", "spots")
 
@@ -357,12 +357,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 count.append(len(_runs(gone)[0]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], ["row", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("row", whole.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(take, schema).select(*[F.col("row").getField(c).alias(c) for c in names], "n_bytes", "n_removed", "n_spans", "kept")
+    schema = T.StructType([T.StructField("row", whole.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(take, schema).select(*[F.col("row").getField(c).alias(c) for c in names], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:

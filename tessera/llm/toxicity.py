@@ -182,6 +182,23 @@ def severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the model doesn't reject."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = shared.value, {}
+        for b in batches:
+            clean = []
+            for t in b.column(b.schema.get_field_index(text_col)).to_pylist():
+                found, hits, words = _selected(t, known, m.weights)
+                clean.append(m.at_least(math.fsum(m.weights[f] for f in found) + m.density * _density(hits, words))[0] < REJECT)
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """Severity of the whole ``documents`` table under a model fitted on ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
