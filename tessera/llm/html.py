@@ -31,7 +31,7 @@ SCOPES = frozenset("html body table td th caption button article section div mai
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 # Words in class and id names that mark page furniture, and those that mark content.
 FURNITURE = re.compile(r"(?:^|[-_ ])(?:ads?|adv|advert\w*|adsense|adslot|adbox|adunit|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|sign-up|login|paywall|comment\w*|disqus|respond|replies|reply|discussion|reactions|sidebar\w*|side|rail|widget\w*|related\w*|recommend\w*|more-stories|trending|popular|share\w*|sharing|social\w*|follow|nav\w*|menu\w*|breadcrumb\w*|crumbs|pagination|pager|toolbar|masthead|topbar|site-?header|page-?header|header|site-?footer|page-?footer|footer|foot|copyright|legal|disclaimer|skip|search\w*|form|tags|tagcloud|byline-social|rating|poll|print|hidden|outbrain|taboola)(?=$|[-_ ])", re.I)
-LAYOUT = re.compile(r"(?:no|has|with|without|is|js|two|one)[-_]", re.I)
+LAYOUT = re.compile(r"(?:no|has|with|without|is|js|two|one)[-_]|(?:article|entry|post|story|content)[-_]*(?:header|head|title|text|body|content|main)$", re.I)
 CONTENT = re.compile(r"article|content|post|entry|story|main|body|text|blog|page", re.I)
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -185,6 +185,17 @@ def _measure(node: Node, sizes: dict[int, tuple[int, int, int]]) -> None:
         sizes[id(x)] = (chars, chars if x.name == "a" else links, commas)
 
 
+def _has_title(node: Node) -> bool:
+    """Whether a heading of the first rank stands below a node, outside of furniture."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.name == "h1":
+            return True
+        stack.extend(c for c in x.children if not isinstance(c, str) and not c.dropped)
+    return False
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, blocks joined by one line feed; empty if there is none."""
     if not page:
@@ -233,18 +244,19 @@ def extract(page: str | None) -> str:
     if holder is None or best.name in ("article", "main") and sum(not isinstance(c, str) and c.name == best.name and not c.dropped for c in holder.children) == 1:
         return "\n".join(blocks(best))
     out: list[str] = []
-    bar = max(10.0, 0.2 * top)
+    bar, passed = 0.1 * top, False
     for c in holder.children:
         if isinstance(c, str):
             continue
         if c is best:
+            passed = True
             out.extend(blocks(c))
         elif not c.dropped:
             chars, links, _ = sizes[id(c)]
             density = links / max(chars, 1)
-            alike = c.score > 0 and final(c) + (0.2 * top if c.hint and c.hint == best.hint else 0) >= bar
+            alike = c.score > 0 and density < 0.5 and final(c) + (bar if c.hint and c.hint == best.hint else 0) >= bar
             prose = c.name in ("p", "pre", "blockquote") and (chars > 80 and density < 0.25 or 0 < chars <= 80 and links == 0)
-            title = c.name in ("h1", "h2", "h3") and chars > 0 and density < 0.25
+            title = (c.name in ("h1", "h2", "h3") or not passed and _has_title(c)) and chars > 0 and density < 0.25
             if alike or prose or title:
                 out.extend(blocks(c))
     return "\n".join(out)

@@ -11,6 +11,7 @@ BODIES = [
     '<div class="wrap"><div id="content"><h1>Title</h1>{}</div></div>',
     '<main><div class="post-body"><h1>Title</h1>{}</div></main>',
     '<div class="layout has-sidebar"><div class="page-header"><main class="post"><h1>Title</h1>{}</main></div></div>',
+    '<div class="entry-header"><h1>Title</h1></div><div class="entry-content">{}</div>',
     '<table><tr><td class="text"><h1>Title</h1>{}</td><td class="sidebar">x</td></tr></table>',
 ]
 
@@ -21,6 +22,12 @@ def test_article_is_kept_and_furniture_dropped(body):
     assert html.extract(page) == "\n".join(["Title", *WANT])
 
 
+def test_parts_of_an_article():
+    parts = [f"<p>{p}</p>" for p in PARAS]
+    page = f"<body>{FURNITURE}<div class='story'><div>{parts[0] * 6}</div><div>{parts[1]}</div><div class='share-bar'><p>Share this, with all, your friends, and others too.</p></div><div>{parts[2]}</div></div>{TAIL}</body>"
+    assert html.extract(page) == "\n".join([WANT[0]] * 6 + WANT[1:])
+
+
 def test_unclosed_and_broken_markup():
     body = "<article><h1>Title</h1><p><b>Bold start.<br><p>" + "<p>".join(PARAS) + "<ul><li>One item<li>Another <i>item</ul></article><footer>&copy; x"
     assert html.extract(body) == "\n".join(["Title", "Bold start.", *WANT, "One item", "Another item"])
