@@ -22,7 +22,9 @@ from tessera.llm.common import bounded_batches, connected_components, written
 BITS = 64
 SEED = 42
 #: Members of one anchor that are compared as one numpy block.
-COMPARE = 2048
+COMPARE = 256
+#: Shingle counts of two texts that may be similar to 0.8, with some room for repeated shingles.
+SIZE_RATIO = 0.7
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: the primes of XXH64
 
 
@@ -69,21 +71,39 @@ def xxh64_slices(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int =
     return h
 
 
-def fingerprint(text: bytes, shingle_words: int = 3, step: int = 1 << 16) -> int:
-    """SimHash of the whole text as an unsigned integer; zero if it has no words. Shingles are hashed ``step`` at a time."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    data = b" ".join(words)
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """A hash for another word of a fingerprint, made of the first one's; word 0 is the hash itself."""
+    if not word:
+        return h
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(word) * _P1
+        h = (h ^ (h >> np.uint64(30))) * _P2
+        h = (h ^ (h >> np.uint64(27))) * _P3
+        return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, shingle_words: int = 3, words: int = 1, step: int = 1 << 16) -> tuple[list[int], int]:
+    """SimHash of the whole text in ``words`` unsigned integers of 64 bits, and its shingles' number; zeros if it has no
+    words. Shingles are hashed ``step`` at a time."""
+    found = text.lower().split()
+    if not found:
+        return [0] * words, 0
+    data = b" ".join(found)
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
-    k = min(shingle_words, len(words))
-    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    ones = np.zeros(BITS, np.int64)
+    k = min(shingle_words, len(found))
+    starts, ends = starts[: len(found) - k + 1], ends[k - 1 :]
+    ones = np.zeros((words, BITS), np.int64)
     for a in range(0, len(starts), step):
         h = xxh64_slices(data, starts[a : a + step], ends[a : a + step])
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+        for w in range(words):
+            ones[w] += np.unpackbits(_mixed(h, w).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > len(starts)).tobytes(), "big") for x in ones], len(starts)
+
+
+def fingerprint(text: bytes, shingle_words: int = 3, step: int = 1 << 16) -> int:
+    """SimHash of the whole text in 64 bits."""
+    return wide_fingerprint(text, shingle_words, 1, step)[0][0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -106,8 +126,9 @@ def _block_columns(blocks: int) -> tuple[int, int]:
     return width, r
 
 
-def anchor_rows(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """``(anchor, home, fp)``: every anchor within covering radius plus threshold of each block of each fingerprint.
+def anchor_rows(fps: DataFrame, max_bits: int, blocks: int, word: str = "fp", first: int = 0) -> DataFrame:
+    """``fps`` with ``(anchor, home)``: every anchor within covering radius plus threshold of each block of ``word``. Blocks
+    are numbered from ``first``.
 
     With a threshold of t bits in a block the anchors lie within 1 + t; t of 0 and 1 are built here. A value of syndrome
     s is turned into the anchors by flipping sets of positions that add up to s: the set {s}, and for t = 1 also the pairs
@@ -119,28 +140,30 @@ def anchor_rows(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
     n = width - 1  # length of the Hamming code; position p is bit p - 1, the free bit is bit n
     rows = []
     for b in range(blocks):
-        value = F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        value = F.shiftrightunsigned(word, b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         checks = [F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(sum(1 << (p - 1) for p in range(1, n + 1) if p >> j & 1)).cast("long"))).bitwiseAND(F.lit(1)), j) for j in range(r)]
         syndrome = checks[0]
         for c in checks[1:]:
             syndrome = syndrome + c
-        rows.append(F.struct(F.lit(b).alias("b"), value.alias("x"), syndrome.alias("s")))
+        rows.append(F.struct(F.lit(first + b).alias("b"), value.alias("x"), syndrome.alias("s")))
     one = F.lit(1).cast("long")
     flip = lambda s: F.when(s == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(s - 1 as int))"))
-    base = fps.select("fp", F.explode(F.array(*rows)).alias("e")).select("fp", "e.b", "e.x", "e.s").withColumn("near", F.col("x").bitwiseXOR(flip(F.col("s"))))
+    kept = fps.columns
+    base = fps.select(*kept, F.explode(F.array(*rows)).alias("e")).select(*kept, "e.b", "e.x", "e.s").withColumn("near", F.col("x").bitwiseXOR(flip(F.col("s"))))
     sets = f"array(struct(near as c, true as home))"
     if t:
         pairs = ",".join(f"struct(x ^ {1 << (a - 1)}L ^ shiftleft(1L, ({a} ^ s) - 1) as c, false as home, {a} < ({a} ^ s) and {a} <> s as ok)" for a in range(1, n + 1))
         free = f"array(struct(near ^ {1 << n}L as c, false as home))"
         sets = f"concat({sets}, {free}, if(s = 0, cast(array() as array<struct<c: bigint, home: boolean>>), transform(filter(array({pairs}), p -> p.ok), p -> struct(p.c as c, p.home as home))))"
-    spread = base.select("fp", "b", F.explode(F.expr(sets)).alias("a"))
+    spread = base.select(*kept, "b", F.explode(F.expr(sets)).alias("a"))
     anchor = F.col("a.c").bitwiseOR(F.shiftleft(F.col("b").cast("long"), width)) if width < BITS else F.col("a.c")
-    return spread.select(anchor.alias("anchor"), F.col("a.home").alias("home"), "fp")
+    return spread.select(anchor.alias("anchor"), F.col("a.home").alias("home"), *kept)
 
 
-def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there."""
-    n = len(fps)
+def _forest(ids: np.ndarray, words: list[np.ndarray], sizes: np.ndarray | None, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there.
+    With ``sizes`` given, in ascending order, only members whose sizes are within ``SIZE_RATIO`` are compared."""
+    n = len(ids)
     label, heads, tails = np.arange(n), [], []
 
     def find(i: int) -> int:
@@ -152,57 +175,68 @@ def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarra
     hs = np.flatnonzero(home)
     for a in range(0, len(hs), COMPARE):
         left = hs[a : a + COMPARE]
-        for c in range(0, n, COMPARE):
-            near = np.bitwise_count(fps[left][:, None] ^ fps[None, c : c + COMPARE]) <= max_bits
-            for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+        begin, end = 0, n
+        if sizes is not None:
+            begin, end = int(np.searchsorted(sizes, SIZE_RATIO * sizes[left[0]])), int(np.searchsorted(sizes, sizes[left[-1]] / SIZE_RATIO, "right"))
+        for c in range(begin, end, COMPARE):
+            d = np.zeros((len(left), min(COMPARE, end - c)), np.uint16)
+            for w in words:
+                d += np.bitwise_count(w[left][:, None] ^ w[None, c : min(end, c + COMPARE)])
+            for x, y in zip(*(v.tolist() for v in np.nonzero(d <= max_bits)), strict=True):
                 i, j = find(int(left[x])), find(c + y)
                 if i != j:
                     label[max(i, j)] = min(i, j)
                     heads.append(left[x])
                     tails.append(c + y)
-    return fps[np.array(heads, np.int64)], fps[np.array(tails, np.int64)]
+    return ids[np.array(heads, np.int64)], ids[np.array(tails, np.int64)]
 
 
-def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2) -> DataFrame:
-    """Edges ``(u, v)`` that join distinct fingerprints ``fps(fp)`` exactly as the links of at most ``max_bits`` bits do.
+def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_col: str = "fp", words: tuple[str, ...] = ("fp",), size_col: str | None = None) -> DataFrame:
+    """Edges ``(u, v)`` between ids that join distinct fingerprints as the links of at most ``max_bits`` bits do: exactly
+    so where ``max_bits`` is below twice the blocks, and else as far as two fingerprints have a block within one bit.
 
     Rows are dealt by anchor and sorted inside each partition, so that a task streams over the anchors it got; of an
     anchor's links it returns a spanning forest, fewer edges than members, never all pairs. An anchor can gather only
     distinct fingerprints, so copies do not load it.
     """
-    rows = anchor_rows(fps, max_bits, blocks)
-    bounded = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    names = list(dict.fromkeys([id_col, *words, *([size_col] if size_col else [])]))
+    rows = None
+    for k, w in enumerate(words):
+        part = anchor_rows(fps.select(*names), max_bits, blocks, w, k * blocks)
+        rows = part if rows is None else rows.union(part)
+    dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", *([size_col] if size_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(anchor, home, fp):
+        def links(anchor, home, *columns):
+            by = dict(zip(names, columns, strict=True))
+            ids, parts, sizes = by[id_col], [by[w].view(np.uint64) for w in words], by.get(size_col)
             cut = np.flatnonzero(np.diff(anchor)) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
             us, vs = [], []
-            sizes = ends - starts
-            with_home = np.add.reduceat(home.astype(np.int64), starts) if len(starts) else sizes
-            for k in np.flatnonzero((sizes > 1) & (with_home > 0)).tolist():
-                u, v = _forest(fp[starts[k] : ends[k]], home[starts[k] : ends[k]], max_bits)
+            with_home = np.add.reduceat(home.astype(np.int64), starts)
+            for a, z in zip(starts[k := (ends - starts > 1) & (with_home > 0)].tolist(), ends[k].tolist(), strict=True):
+                u, v = _forest(ids[a:z], [p[a:z] for p in parts], None if sizes is None else sizes[a:z], home[a:z], max_bits)
                 us.append(u)
                 vs.append(v)
             if us and sum(map(len, us)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
         held: list[tuple] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            part = (b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            part = tuple(c.to_numpy(zero_copy_only=False).astype(bool if k == 1 else np.int64) for k, c in enumerate(b.columns))
             held.append(part)
             if part[0][0] == part[0][-1]:
                 continue  # one anchor fills the batch: its end is still to come
-            anchor, home, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(-(anchor == anchor[-1]).astype(np.int8), -1, side="left")) if anchor[-1] == anchor[0] else int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1
-            yield from links(anchor[:cut], home[:cut], fp[:cut])
-            held = [(anchor[cut:], home[cut:], fp[cut:])]
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1
+            yield from links(*(x[:cut] for x in whole))
+            held = [tuple(x[cut:] for x in whole)]
         if held:
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return bounded.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, blocks: int = 2) -> DataFrame:
@@ -223,27 +257,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 11, blocks: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, words: int = 3, max_bits: int = 36, blocks: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns as they are, but of each group of near-duplicates only the row with the smallest id.
 
-    Rows count as near-duplicates as in ``near_duplicates``. The defaults stand for shingles of five words and a Jaccard
-    similarity of 0.8 or more, at which about a sixth of the bits differ. A null id comes after all others; among rows that
-    repeat the id, one is kept.
+    The defaults stand for shingles of five words and a Jaccard similarity of 0.8 or more, at which about 0.15 of the bits
+    differ: fingerprints have 192 bits, so that the estimate is sharp, and link at 36 or fewer differing bits if one of
+    their twelve blocks is within one bit. Groups are what links reach. A null id comes after all others; among rows that
+    repeat the id, one is kept. Null and empty texts are near-duplicates of each other.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t or b"", shingle_words) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["rid", "id", "fp"])
+            found = [wide_fingerprint(t or b"", shingle_words, words) for t in b.column(2).to_pylist()]
+            fps = np.array([f for f, _ in found], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)), pa.array([n for _, n in found], pa.int64())], ["rid", "id", *names, "n"])
 
-    marked = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "rid long, id long, fp long")
-    marked = written(marked, "simhash-rows")
+    marked = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    marked = written(marked.mapInArrow(run, f"rid long, id long, {', '.join(f'{x} long' for x in names)}, n long"), "simhash-rows")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
-    classes = written(marked.groupBy("fp").agg(first.alias("one")), "simhash-firsts")
-    parts = connected_components(linked_fingerprints(classes.select("fp"), max_bits, blocks))
-    named = classes.join(parts, classes.fp == parts.id, "left").select("one", F.coalesce("component", "fp").alias("part"))
+    classes = written(marked.groupBy(*names).agg(first.alias("one"), F.max("n").alias("n")).select(F.col("one.rid").alias("vid"), "*"), "simhash-firsts")
+    parts = connected_components(linked_fingerprints(classes, max_bits, blocks, "vid", tuple(names), "n"))
+    named = classes.join(parts, classes.vid == parts.id, "left").select("one", F.coalesce("component", "vid").alias("part"))
     keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias("__rid")), "simhash-kept")
     return rows.join(keep, "__rid", "left_semi").drop("__rid")
 
