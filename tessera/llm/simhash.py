@@ -164,14 +164,8 @@ def _forest(ids: np.ndarray, words: list[np.ndarray], sizes: np.ndarray | None,
     """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there.
     With ``sizes`` given, in ascending order, only members whose sizes are within ``SIZE_RATIO`` are compared."""
     n = len(ids)
-    label, heads, tails = np.arange(n), [], []
-
-    def find(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
+    label = np.arange(n)
+    heads, tails = [], []
     hs = np.flatnonzero(home)
     for a in range(0, len(hs), COMPARE):
         left = hs[a : a + COMPARE]
@@ -179,15 +173,20 @@ def _forest(ids: np.ndarray, words: list[np.ndarray], sizes: np.ndarray | None,
         if sizes is not None:
             begin, end = int(np.searchsorted(sizes, SIZE_RATIO * sizes[left[0]])), int(np.searchsorted(sizes, sizes[left[-1]] / SIZE_RATIO, "right"))
         for c in range(begin, end, COMPARE):
-            d = np.zeros((len(left), min(COMPARE, end - c)), np.uint16)
+            z = min(end, c + COMPARE)
+            d = np.zeros((len(left), z - c), np.uint16)
             for w in words:
-                d += np.bitwise_count(w[left][:, None] ^ w[None, c : min(end, c + COMPARE)])
-            for x, y in zip(*(v.tolist() for v in np.nonzero(d <= max_bits)), strict=True):
-                i, j = find(int(left[x])), find(c + y)
-                if i != j:
-                    label[max(i, j)] = min(i, j)
-                    heads.append(left[x])
-                    tails.append(c + y)
+                d += np.bitwise_count(w[left][:, None] ^ w[None, c:z])
+            near = d <= max_bits
+            for x in np.flatnonzero((near & (label[left][:, None] != label[None, c:z])).any(1)).tolist():
+                i = left[x]
+                ys = np.flatnonzero(near[x])
+                roots, at = np.unique(label[c + ys], return_index=True)
+                for r, y in zip(roots.tolist(), ys[at].tolist(), strict=True):
+                    if r != label[i]:  # a merge: there are fewer of them than members
+                        heads.append(i)
+                        tails.append(c + y)
+                        label[label == r] = label[i]
     return ids[np.array(heads, np.int64)], ids[np.array(tails, np.int64)]
 
 
