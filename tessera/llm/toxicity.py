@@ -24,7 +24,9 @@ from tessera.llm.common import bounded_batches, written
 #: Labelled rows the fit sees at most, chosen by a hash of the id; features the model keeps at most.
 MAX_LABELS = 12_000
 MAX_FEATURES = 4096
-#: Grades above 0 that positive labels are divided into, by the density of telling words.
+#: Share of a kept feature's rows that are positive, at least.
+SHARE = 0.8
+#: Grades above 0 that positive labels are divided into, by the number of telling words.
 LEVELS = 3
 #: Words whose features a worker remembers.
 REMEMBERED = 300_000
@@ -40,10 +42,10 @@ def word_features(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class SeverityModel:
-    """Weights of binary features, the weight of log density, and ordered thresholds."""
+    """Weights of binary features, the weight of the log of how many telling words there are, and ordered thresholds."""
 
     weights: dict[str, float]
-    density: float
+    volume: float
     thetas: tuple[float, ...]
 
     def at_least(self, z: float) -> list[float]:
@@ -51,12 +53,8 @@ class SeverityModel:
         return [1 / (1 + math.exp(min(700, max(-700, t - z)))) for t in self.thetas]
 
 
-def _density(hits: int, words: int) -> float:
-    return math.log1p(100 * hits / words) if words else 0.0
-
-
-def _selected(text: str | None, known: dict[str, tuple], keep) -> tuple[set[str], int, int]:
-    """Kept features of a text, the number of its words that have one, and of its words."""
+def _selected(text: str | None, known: dict[str, tuple], keep) -> tuple[set[str], int]:
+    """Kept features of a text, and the number of its words that have one."""
     counts = Counter(WORD.findall((text or "").lower()))
     found: set[str] = set()
     hits = 0
@@ -69,11 +67,12 @@ def _selected(text: str | None, known: dict[str, tuple], keep) -> tuple[set[str]
         if f:
             found.update(f)
             hits += n
-    return found, hits, counts.total()
+    return found, hits
 
 
 def _fit(rows: list[tuple[list[int], float, int]], size: int, levels: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
-    """Full-batch Adam on the mean negative log-likelihood; thresholds stay ordered as sums of exponentials."""
+    """Full-batch Adam on the mean negative log-likelihood; thresholds stay ordered as sums of exponentials, and weights at 0
+    or above, as every feature speaks for a higher grade."""
     n = len(rows)
     of = np.repeat(np.arange(n), [len(r[0]) for r in rows])
     at = np.array([i for r in rows for i in r[0]], np.int64)
@@ -96,6 +95,7 @@ def _fit(rows: list[tuple[list[int], float, int]], size: int, levels: int, steps
         g = np.concatenate((np.bincount(at, gz[of], size) + l2 * w, [gz @ dense + l2 * d], [tail[0]], tail[1:] * np.exp(p[size + 2 :])))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p[: size + 1] = np.maximum(p[: size + 1], 0)
     return p[:size], p[size], np.cumsum(np.concatenate(([p[size + 1]], np.exp(p[size + 2 :]))))
 
 
@@ -104,8 +104,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Labels are 0 or 1 (null labels and labels without a document are passed over; a repeated label counts once, the
     largest value winning). A feature is kept if it goes with positive labels: a log-likelihood ratio above twice the log
-    of the number of features tried, and at least three times the odds. Positive rows get grades 1 to ``levels`` by the
-    quantiles of the density of their telling words; rows without any keep grade 1. Without both classes, or without any
+    of the number of features tried, and a share of ``SHARE`` of positive rows among its own. Positive rows get grades 1 to ``levels`` by the
+    quantiles of the number of their telling words; rows without any keep grade 1. Beginnings of words are judged by the words
+    that don't tell by themselves. Without both classes, or without any
     feature that tells them apart, the model gives severity near 0 for all.
     """
     spark = docs.sparkSession
@@ -120,25 +121,30 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not pos or not neg:
         return none
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[y > 0].update({f for w in set(WORD.findall((t or "").lower())) for f in word_features(w)})
-        names = list(counts[0] | counts[1])
-        for a in range(0, len(names), 50_000):
-            some = names[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[f] for f in some], pa.int64()) for c in counts)], ["f", "n0", "n1"])
-
-    seen = sample.mapInArrow(tally, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
-    seen = written(seen, "toxicity-features")
-    tried = max(2, seen.count())
-    part = lambda n, total: F.when(n > 0, n * F.log(n / total)).otherwise(F.lit(0.0))
-    n = F.col("n0") + F.col("n1")
-    every = pos + neg
-    ratio = 2 * (part(F.col("n1"), n * pos / every) + part(F.col("n0"), n * neg / every) + part(pos - F.col("n1"), (every - n) * pos / every) + part(neg - F.col("n0"), (every - n) * neg / every))
-    odds = ((F.col("n1") + 0.5) * (neg - F.col("n0") + 0.5)) / ((F.col("n0") + 0.5) * (pos - F.col("n1") + 0.5))
-    names = [r.f for r in seen.withColumn("g", ratio).where((F.col("g") > 2 * math.log(tried)) & (odds >= 3)).orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()]
+    def chosen_of(kind: str, told: frozenset[str]) -> list[str]:
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for b in batches:
+                for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = {w for w in WORD.findall((t or "").lower()) if f"={w}" not in told}
+                    counts[y > 0].update({f for w in words for f in word_features(w) if f[0] == kind})
+            names = list(counts[0] | counts[1])
+            for a in range(0, len(names), 50_000):
+                some = names[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[f] for f in some], pa.int64()) for c in counts)], ["f", "n0", "n1"])
+
+        seen = sample.mapInArrow(tally, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+        seen = written(seen, "toxicity-features")
+        tried = max(2, seen.count())
+        part = lambda n, total: F.when(n > 0, n * F.log(n / total)).otherwise(F.lit(0.0))
+        n = F.col("n0") + F.col("n1")
+        every = pos + neg
+        ratio = 2 * (part(F.col("n1"), n * pos / every) + part(F.col("n0"), n * neg / every) + part(pos - F.col("n1"), (every - n) * pos / every) + part(neg - F.col("n0"), (every - n) * neg / every))
+        strong = (F.col("g") > 2 * math.log(tried)) & (F.col("n1") >= SHARE * n) & (F.col("n1") * every > pos * n)
+        return [r.f for r in seen.withColumn("g", ratio).where(strong).orderBy(F.desc("g"), "f").limit(MAX_FEATURES // 2).collect()]
+
+    told = chosen_of("=", frozenset())
+    names = told + chosen_of("^", frozenset(told))
     if not names:
         return none
     index = {f: i for i, f in enumerate(names)}
@@ -147,7 +153,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         known: dict[str, tuple] = {}
         for b in batches:
             rows = [_selected(t, known, index) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(index[f] for f in r[0]) for r in rows], pa.list_(pa.int32())), pa.array([_density(r[1], r[2]) for r in rows], pa.float64())], ["y", "x", "d"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(index[f] for f in r[0]) for r in rows], pa.list_(pa.int32())), pa.array([math.log1p(r[1]) for r in rows], pa.float64())], ["y", "x", "d"])
 
     rows = sample.mapInArrow(describe, "y int, x array<int>, d double").collect()  # at most max_labels short rows
     dense = sorted(r.d for r in rows if r.y > 0 and r.d > 0)
@@ -172,8 +178,8 @@ def severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                found, hits, words = _selected(t, known, m.weights)
-                at_least = m.at_least(math.fsum(m.weights[f] for f in found) + m.density * _density(hits, words))
+                found, hits = _selected(t, known, m.weights)
+                at_least = m.at_least(math.fsum(m.weights[f] for f in found) + m.volume * math.log1p(hits))
                 out.append((sum(at_least), sum(p >= 0.5 for p in at_least), at_least[0]))
             s, g, p = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(g, pa.int32()), pa.array(p, pa.float64()), pa.array([x >= REJECT for x in p], pa.bool_())], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -192,8 +198,8 @@ def without_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text")
         for b in batches:
             clean = []
             for t in b.column(b.schema.get_field_index(text_col)).to_pylist():
-                found, hits, words = _selected(t, known, m.weights)
-                clean.append(m.at_least(math.fsum(m.weights[f] for f in found) + m.density * _density(hits, words))[0] < REJECT)
+                found, hits = _selected(t, known, m.weights)
+                clean.append(m.at_least(math.fsum(m.weights[f] for f in found) + m.volume * math.log1p(hits))[0] < REJECT)
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
