@@ -235,7 +235,7 @@ def _list_pieces(docs: DataFrame, length: int) -> DataFrame:
 
 def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Suffix arrays over ``pieces(shard, deal, anchor, k, spot, bytes)``: repeated runs ``(k, spot)``, and for divided anchors
-    the sorted runs of the merge ``(k, spot, anchor, lane, digest)``."""
+    the sorted runs of the merge ``(anchor, lane, digests, ks, spots)``, a row a range."""
 
     def run(table: pa.Table) -> pa.Table:
         once = {(k, spot): (anchor, deal, b) for k, spot, anchor, deal, b in zip(*(table[c].to_pylist() for c in ("k", "spot", "anchor", "deal", "bytes")), strict=True)}  # a row that repeats id and text comes twice
@@ -261,18 +261,19 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         d = xxhash.xxh3_128_digest(parts[i][s : s + length])
                         lanes.setdefault((anchors[i], int.from_bytes(d[:8], "big") * many >> 64), []).append((d, ks[i], _spot(start + s, 1, th)))
             a = z
-        rows = {"k": out_k, "spot": out_spot, "anchor": [None] * len(out_k), "lane": [None] * len(out_k), "digests": [None] * len(out_k)}
-        for (anchor, lane), found in lanes.items():
-            found.sort()
-            for d, k, spot in found:
-                rows["k"].append(k)
-                rows["spot"].append(spot)
-                rows["anchor"].append(anchor)
-                rows["lane"].append(lane)
-                rows["digests"].append(d)
-        return pa.table({"k": pa.array(rows["k"], pa.int64()), "spot": pa.array(rows["spot"], pa.int64()), "anchor": pa.array(rows["anchor"], pa.int64()), "lane": pa.array(rows["lane"], pa.int32()), "digest": pa.array(rows["digests"], pa.binary())})
-
-    found = written(pieces.groupBy("shard").applyInArrow(run, "k long, spot long, anchor long, lane int, digest binary"), "suffixes-shards")
+        n = len(out_k)
+        ranges = [(key, sorted(found)) for key, found in sorted(lanes.items())]
+        return pa.table({
+            "k": pa.array(out_k + [None] * len(ranges), pa.int64()),
+            "spot": pa.array(out_spot + [None] * len(ranges), pa.int64()),
+            "anchor": pa.array([None] * n + [key[0] for key, _ in ranges], pa.int64()),
+            "lane": pa.array([None] * n + [key[1] for key, _ in ranges], pa.int32()),
+            "digests": pa.array([None] * n + [b"".join([d for d, _, _ in x]) for _, x in ranges], pa.binary()),
+            "ks": pa.array([None] * n + [[k for _, k, _ in x] for _, x in ranges], pa.list_(pa.int64())),
+            "spots": pa.array([None] * n + [[s for _, _, s in x] for _, x in ranges], pa.list_(pa.int64())),
+        })
+
+    found = written(pieces.groupBy("shard").applyInArrow(run, "k long, spot long, anchor long, lane int, digests binary, ks array<long>, spots array<long>"), "suffixes-shards")
     return found.where("lane is null").select("k", "spot"), found.where("lane is not null")
 
 
@@ -280,11 +281,11 @@ def _merged(lanes: DataFrame) -> DataFrame:
     """Strings of divided anchors that two shards have: the sorted runs of a lane are merged by binary search."""
 
     def run(table: pa.Table) -> pa.Table:
-        digests = np.array(table["digest"].to_pylist(), dtype=object)
-        ks, spots = table["k"].to_numpy(), table["spot"].to_numpy()
-        keys = np.array([(int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big")) for d in digests], np.uint64).reshape(-1, 2)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        high, low = keys[order, 0], keys[order, 1]
+        keys = [np.frombuffer(d, ">u8").reshape(-1, 2).astype(np.uint64) for d in table["digests"].to_pylist()]
+        high, low = np.concatenate([x[:, 0] for x in keys]), np.concatenate([x[:, 1] for x in keys])
+        ks, spots = (np.concatenate([np.array(x, np.int64) for x in table[c].to_pylist()]) for c in ("ks", "spots"))
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
         left, right = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
         twice = right - left > 1
         for i in np.flatnonzero(twice).tolist():
