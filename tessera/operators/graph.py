@@ -8,20 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import reliable
+
 #: Rounds between two checkpoints.
 EVERY = 4
 
 
 def _cut(df: DataFrame, round_: int) -> DataFrame:
-    """A reliable checkpoint in the shared folder every few rounds; one is set only where the cluster names none."""
-    if (round_ + 1) % EVERY:
-        return df
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-graph-"))
-    return df.checkpoint()
+    """A reliable checkpoint every few rounds."""
+    return df if (round_ + 1) % EVERY else reliable(df)
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -132,3 +127,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 50, strict_gai
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Each node or edge as a JSON object."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -124,3 +124,9 @@ def full_stats(state: DataFrame, read_hits: DataFrame, capacity: int) -> DataFra
     rate = F.when(reads > 0, F.col("hits") / reads * 100).otherwise(0.0)
     mean = F.when(F.col("items") > 0, F.expr("bytes div items")).otherwise(F.lit(0).cast("bigint"))
     return a.join(b).select("items", "bytes", mean.alias("avg_item_size"), F.round(F.col("bytes") / capacity * 100, 6).alias("usage_pct"), "hits", "misses", F.round(rate, 6).alias("hit_rate"))
+
+
+def prometheus(one_row: DataFrame, prefix: str = "tessera") -> DataFrame:
+    """The numbers of a one-row frame as lines of the text exposition format."""
+    lines = [F.format_string(f"# TYPE {prefix}_{c} gauge\n{prefix}_{c} %s", F.col(c).cast("string")) for c in one_row.columns]
+    return one_row.select(F.concat_ws("\n", *lines).alias("text"))

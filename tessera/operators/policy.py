@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets into which the order of victims is cut, so that running sums need no single task.
-BUCKETS = 1024
+from tessera.operators.lineage import reliable
+
+#: Ranges into which the order of victims is cut at most, so that running sums need no single task.
+RANGES = 4096
 
 
 def victims(entries: DataFrame, order: list[Column], need: int, most: int | None = None) -> DataFrame:
@@ -15,11 +17,12 @@ def victims(entries: DataFrame, order: list[Column], need: int, most: int | None
     Entries are cut into ranges of the order by a distributed sort; sums of the ranges come first, and only the running
     sum inside a range is a window. ``freed`` is the sum up to and with each victim, ``place`` its place from 1.
     """
-    placed = entries.repartitionByRange(BUCKETS, *order).withColumn("part", F.spark_partition_id())
+    ranges = min(RANGES, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = reliable(entries.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))  # ranges must not be drawn twice
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.withColumn("s", F.sum("size").over(inside)).withColumn("c", F.count("*").over(inside))
     sums = local.groupBy("part").agg(F.max("s").alias("part_s"), F.max("c").alias("part_c"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most BUCKETS rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
     bases = sums.select("part", F.coalesce(F.sum("part_s").over(before), F.lit(0)).alias("base_s"), F.coalesce(F.sum("part_c").over(before), F.lit(0)).alias("base_c"))
     found = local.join(F.broadcast(bases), "part").withColumn("freed", F.col("base_s") + F.col("s")).withColumn("place", F.col("base_c") + F.col("c"))
     found = found.where((F.col("freed") - F.col("size") < need) & F.lit(need > 0))

@@ -172,6 +172,11 @@ def test_scalars(spark):
     assert one(scalar.shard_of(F.lit(""), 256)) == 2166136261 & 255
 
 
+def test_texts(spark):
+    assert kv.prometheus(spark.sql("select 3L as items, 10L as bytes"), "x").first().text == "# TYPE x_items gauge\nx_items 3\n# TYPE x_bytes gauge\nx_bytes 10"
+    assert graph.as_json(spark.sql("select 1L as src, 2L as dst")).first().json == '{"src":1,"dst":2}'
+
+
 def test_streaming(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     src = continuous.source(spark, d, "events.parquet")
