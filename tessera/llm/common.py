@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Rows in one such batch.
 BATCH_ROWS = 2000
+#: Edges that one task thins to a spanning forest.
+FOREST_EDGES = 200_000
 
 _own: dict[str, str] = {}
 
@@ -53,21 +57,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to run reads them."""
+    for t in tables:
+        spark = t.sparkSession
+        for file in t.inputFiles()[:1]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if at.getName().startswith("tessera-"):
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limits Arrow batches by bytes, so that many long texts never meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _without_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task that join what its earlier edges left apart."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for b in batches:
+        keep = []
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            i, j = find(u), find(v)
+            keep.append(i != j)
+            up[max(i, j)] = min(i, j)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Component of every vertex in ``edges(u, v)`` as ``(id, component)``, component being its smallest vertex.
 
-    Alternates the large-star and small-star steps, which halve the depth of every tree, until no edge changes. Each
+    Edges are first thinned to a spanning forest in parts of a bounded size. Then it alternates the large-star and small-star steps, which halve the depth of every tree, until no edge changes. Each
     round is written to the scratch folder. Degrees are reduced by partial aggregates, and the joins are plain equi-joins
     that adaptive execution splits where one vertex has very many edges. Self-loops are ignored.
     """
-    both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    state, before = written(both, name), None
+    both = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
+    parts = -(-both.count() // FOREST_EDGES)
+    state, before = written(both.repartition(max(1, parts)).mapInArrow(_without_cycles, "u long, v long"), name), None
+    discard(both)
     while True:
         # large-star: every larger neighbour of u moves to u's smallest neighbour or u itself
         sides = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -77,7 +112,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        state = written(small, name)
+        last, state = state, written(small, name)
+        discard(last)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, connected_components, written
+from tessera.llm.common import bounded_batches, connected_components, discard, written
 
 BITS = 64
 SEED = 42
@@ -281,6 +281,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = connected_components(linked_fingerprints(classes, max_bits, blocks, "vid", tuple(names), "n"))
     named = classes.join(parts, classes.vid == parts.id, "left").select("one", F.coalesce("component", "vid").alias("part"))
     keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias("__rid")), "simhash-kept")
+    discard(marked, classes)
     return rows.join(keep, "__rid", "left_semi").drop("__rid")
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, written
+from tessera.llm.common import bounded_batches, discard, written
 
 LENGTH = 200
 GRAM = 32
@@ -314,6 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
     anchors = written(anchors, "suffixes-anchors")  # a plain table, so that a join with a hot anchor can be split
     shared = written(pieces.join(anchors, "anchor").select("anchor", "digest", "k", "spot", (F.col("d0") != F.col("d1")).alias("mixed")), "suffixes-shared")
+    discard(pieces, anchors)
     mixed = shared.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "spot")).alias("one"))
     mixed = written(mixed.select("anchor", "digest", "n", "one.k", "one.spot"), "suffixes-mixed")
     copies = shared.where("not mixed").select("k", "spot").union(shared.where("mixed").join(mixed.where("n > 1").select("anchor", "digest"), ["anchor", "digest"]).select("k", "spot"))
