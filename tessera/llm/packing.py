@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, written
-from tessera.llm.tokens import ChunkEncoder
+from tessera.llm.tokens import encoder_of
 
 WINDOW = 1024
 END_ID = 0
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, win
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = ChunkEncoder(tokenizer_path, keeps_space), TaskContext.get().partitionId(), [0] * (window + 1)
+        encoder, part, seen = encoder_of(tokenizer_path, keeps_space), TaskContext.get().partitionId(), [0] * (window + 1)
         for b in batches:
             rows = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, scratch_path
-from tessera.llm.tokens import ChunkEncoder
+from tessera.llm.tokens import encoder_of
 
 END_ID = 2
 NULL_ID = -(1 << 63)
@@ -66,7 +66,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
             if not b.num_rows:
                 continue
             if encoder is None:
-                encoder = ChunkEncoder(tokenizer_path, keeps_space)
+                encoder = encoder_of(tokenizer_path, keeps_space)
                 fs.create_dir(root, recursive=True)
                 attempt = f"{root}/_{part}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{attempt}.ids")

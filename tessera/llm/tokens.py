@@ -1,21 +1,25 @@
-"""Tokenisation with the ``tokenizers`` library, remembering the ids of every space-delimited chunk."""
+"""Tokenisation with the ``tokenizers`` library, remembering the ids of what stands between spaces."""
 
 from __future__ import annotations
 
 import os
+from array import array
 
-#: Chunks that a worker remembers, and the length beyond which one is not remembered.
+#: Chunks that a worker remembers in each of two generations, and the length beyond which one is not remembered.
 REMEMBERED = 250_000
 LONGEST = 48
+_STOPS = frozenset(",.;:!?")
 
 
 class ChunkEncoder:
-    """Encodes texts as the tokenizer file does, but each chunk between single spaces only once.
+    """Encodes texts as the tokenizer file does, but each chunk between spaces only once.
 
-    Both kinds of tokenizer used here cut a text into pieces before merging, and a piece never reaches over a space: the
-    word kind drops white space; the byte kind puts a space in front of the piece that follows it. A text is therefore the
+    Both kinds of tokenizer used here cut a text before merging, and what they cut out never reaches over a space: the
+    word kind drops white space; the byte kind puts a space in front of what follows it. A text is therefore the
     concatenation of its chunks' ids, with one exception for the byte kind: where white space stands on both sides of a
-    space, the run is cut elsewhere, and such a text goes to the library whole.
+    space, the run is cut elsewhere, and such a text goes to the library whole. Nor does a cut piece reach from a letter
+    to a stop, or over a single line feed between two other characters, so a chunk is taken apart there as well. When a
+    generation is full, it becomes the old one; what is met again moves to the new.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -24,54 +28,95 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.keeps_space = keeps_space
         self.lead = " " if keeps_space else ""
+        # ids of chunks, with the space in front where it is kept, and of parts that stand inside of a chunk
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _parts(self, chunk: str) -> list[str]:
+        """A chunk as parts that the library may encode one by one."""
+        if "\n" not in chunk:
+            return [chunk[:-1], chunk[-1]] if chunk[-1:] in _STOPS and chunk[-2:-1].isalpha() else [chunk]
+        out = []
+        lines = chunk.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            lines = [chunk]
+        for k, x in enumerate(lines):
+            if k:
+                out.append("\n")
+            if len(x) > 1 and x[-1] in _STOPS and x[-2].isalpha():
+                out += [x[:-1], x[-1]]
+            else:
+                out.append(x)
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Remembers the ids of chunks that aren't in the new generation; returns those that are too long to remember."""
+        known, old, bare = self.known, self.old, self.bare
+        split = {}
+        for w in chunks:
+            if w in old:
+                known[w] = old[w]
+            else:
+                split[w] = self._parts(w)
+        firsts = {p[0]: None for p in split.values() if p[0] not in known}
+        rest = {x: None for p in split.values() for x in p[1:] if x not in bare}
+        long: dict[str, bytes] = {}
+        for names, lead, at in ((firsts, self.lead, known), (rest, "", bare)):
+            todo = list(names)
+            for a in range(0, len(todo), 20_000):
+                some = todo[a : a + 20_000]
+                for x, ids in zip(some, self._ids([lead + x for x in some]), strict=True):
+                    at[x] = ids
+        for w, p in split.items():
+            if len(p) > 1:
+                known[w] = known[p[0]] + b"".join([bare[x] for x in p[1:]])
+        for x in {x for x in (*split, *firsts) if len(x) > LONGEST}:
+            long[x] = known.pop(x)
+        for x in rest:
+            if len(x) > LONGEST:
+                del bare[x]
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for a null or empty text."""
         split = [(t or "").split(" ") for t in texts]
-        heads: dict[str, bytes] = {}
-        if self.lead:
-            heads = dict.fromkeys(c[0] for c in split)
-            first = list(heads)
-            heads = dict(zip(first, self._ids(first), strict=True))
-            split = [[c[0], *c[1:]] for c in split]
+        heads: list[bytes] = [b""] * len(split)
+        if self.keeps_space:
+            heads = self._ids([c[0] for c in split])
+            split = [c[1:] for c in split]
         if len(self.known) > REMEMBERED:
-            self.known, self.odd = {}, set()
+            self.known, self.old, self.bare = {}, self.known, {}
         known = self.known
-        new: dict[str, None] = {}
-        for c in split:
-            for w in c[1:] if self.lead else c:
-                if w not in known:
-                    new[w] = None
-        fresh: dict[str, bytes] = {}
-        todo = list(new)
-        for a in range(0, len(todo), 20_000):
-            some = todo[a : a + 20_000]
-            for w, ids in zip(some, self._ids([self.lead + w for w in some]), strict=True):
-                if self.lead and (not w or w[0].isspace()):
-                    self.odd.add(w)
-                if len(w) <= LONGEST:
-                    known[w] = ids
-                else:
-                    fresh[w] = ids
+        new = [w for w in set().union(*split) if w not in known]
+        if self.keeps_space:
+            self.odd.update([w for w in new if not w or w[0].isspace()])
+        long = self._learn(new)
         out = []
-        for t, c in zip(texts, split, strict=True):
-            rest = c[1:] if self.lead else c
-            if self.lead and not self.odd.isdisjoint(rest):
-                before = c[:-1]
-                if any((not w or w[0].isspace()) and (not p or p[-1].isspace()) for p, w in zip(before, rest, strict=True)):
+        for t, head, c in zip(texts, heads, split, strict=True):
+            if self.odd and not self.odd.isdisjoint(c):
+                before = [t.split(" ", 1)[0], *c]
+                if any((not w or w[0].isspace()) and (not p or p[-1].isspace()) for p, w in zip(before, c)):
                     out.append(self._ids([t])[0])
                     continue
             try:
-                body = b"".join(map(known.__getitem__, rest))
+                out.append(head + b"".join(map(known.__getitem__, c)))
             except KeyError:
-                body = b"".join([known[w] if w in known else fresh[w] for w in rest])
-            out.append(heads[c[0]] + body if self.lead else body)
+                out.append(head + b"".join([known[w] if w in known else long[w] for w in c]))
         return out
+
+
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def encoder_of(path: str, keeps_space: bool) -> ChunkEncoder:
+    """The encoder of this worker process, which goes on from task to task with what it remembers."""
+    if (path, keeps_space) not in _encoders:
+        _encoders[path, keeps_space] = ChunkEncoder(path, keeps_space)
+    return _encoders[path, keeps_space]
