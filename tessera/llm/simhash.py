@@ -25,6 +25,10 @@ SEED = 42
 COMPARE = 256
 #: Shingle counts of two texts that may be similar to 0.8, with some room for repeated shingles.
 SIZE_RATIO = 0.7
+#: Keys of a set of shingles and minima in a key: of pairs at 0.8, 1 - (1 - 0.8^6)^40 have a key in common.
+BANDS, BAND_ROWS = 40, 6
+#: Bytes of sets that are compared in one cell of a divided bucket.
+CELL_BYTES = 16 << 20
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: the primes of XXH64
 
 
@@ -256,29 +260,160 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, words: int = 3, max_bits: int = 36, blocks: int = 4) -> DataFrame:
+def shingle_set(text: bytes, shingle_words: int = 5, step: int = 1 << 16) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's shingles, ascending; the whole text is one if it has fewer words."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    data = b" ".join(found)
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
+    k = min(shingle_words, len(found))
+    starts, ends = starts[: len(found) - k + 1], ends[k - 1 :]
+    return np.unique(np.concatenate([xxh64_slices(data, starts[a : a + step], ends[a : a + step]) for a in range(0, len(starts), step)]))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BANDS`` keys for each set; key b is made of the minima of ``BAND_ROWS`` hashes of its members, and of b."""
+    rng = np.random.default_rng(SEED)
+    times, plus = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+    times |= np.uint64(1)
+    least = np.full((len(sets), BANDS * BAND_ROWS), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i, x in enumerate(sets):
+            for a in range(0, len(x), 1024):
+                np.minimum(least[i], (x[None, a : a + 1024] * times + plus).min(1), out=least[i])
+        least = least.reshape(-1, BANDS, BAND_ROWS)
+        keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _P5, (len(sets), 1))
+        for k in range(BAND_ROWS):
+            keys = (_rot(keys, 27) ^ (least[:, :, k] * _P2)) * _P1
+            keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending arrays without repeats have that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _similar_forest(ids: list[int], parts: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that join those of ``parts`` that similar sets link. If there are two ``sides``, only sets of different sides are
+    compared. All sets of other parts are compared to one set at a time; those of the largest part come last."""
+    label = np.unique(np.array(parts), return_inverse=True)[1]
+    order = np.lexsort((label, np.bincount(label)[label]))
+    label, sides = label[order], sides[order]
+    n = np.array([len(sets[i]) for i in order])
+    member = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+    mixed = sides.min() != sides.max()
+    place = np.arange(len(order))
+    marked = np.zeros(int(member.max(initial=-1)) + 1, bool)
+    out = []
+    for i in range(len(order) - 1):
+        ok = (place > i) & (label != label[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9)
+        js = np.flatnonzero(ok & (sides != sides[i]) if mixed else ok)
+        if not len(js):
+            continue
+        mine = member[begin[i] : begin[i] + n[i]]
+        marked[mine] = True
+        stops = np.cumsum(n[js])
+        hits = np.concatenate(([0], np.cumsum(marked[np.concatenate([member[begin[j] : begin[j] + n[j]] for j in js.tolist()])])))
+        marked[mine] = False
+        both = hits[stops] - hits[stops - n[js]]
+        for j in js[both >= similarity * (n[i] + n[js] - both) - 1e-9].tolist():
+            if label[j] != label[i]:
+                out.append((ids[order[i]], ids[order[j]]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def similar_sets(classes: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` whose components are those of all pairs of ``classes(vid, bands)`` that share a band and have the
+    Jaccard similarity; ``texts(vid, t)`` has their texts. Every edge is a pair whose whole sets were compared.
+
+    First each member of a bucket is compared to the bucket's smallest, a number of pairs that grows with the members only.
+    Buckets whose members are not all in one component by then are gone through pair by pair, in cells of a bounded size.
+    """
+    spread = classes.select("vid", F.explode("bands").alias("key"))
+    buckets = written(spread.groupBy("key").agg(F.min("vid").alias("lead"), F.count("*").alias("m")).where("m > 1"), "simhash-buckets")
+    members = written(spread.join(buckets, "key").select("key", "vid", "lead", "m"), "simhash-members")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or b"", shingle_words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["vid", "s"])
+
+    asked = members.select("vid").distinct()
+    sets = written(texts.join(asked, "vid", "left_semi").select("vid", "t").mapInArrow(sets_of, "vid long, s binary"), "simhash-sets")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = members.where("vid <> lead").select(F.col("lead").alias("u"), F.col("vid").alias("v")).distinct()
+    pairs = pairs.join(sets.select(F.col("vid").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("vid").alias("u"), F.col("s").alias("su")), "u")
+    stars = written(pairs.select("u", "v", "su", "sv").mapInArrow(checked, "u long, v long"), "simhash-stars")
+    parts = written(connected_components(stars), "simhash-parts")
+    labelled = members.where("m > 2").join(parts, members.vid == parts.id, "left").select("key", "vid", F.coalesce("component", "vid").alias("part"))
+    labelled = written(labelled, "simhash-labelled")
+    sized = labelled.join(sets.select("vid", F.octet_length("s").alias("b")), "vid")
+    left = sized.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.sum("b").alias("load")).where("p0 <> p1")
+    left = written(left.select("key", F.ceil(F.col("load") / CELL_BYTES).cast("int").alias("deal")), "simhash-open")
+    side = F.pmod(F.xxhash64("vid"), F.greatest("deal", F.lit(1))).cast("int")
+    placed = labelled.join(left, "key").withColumn("side", side)
+    cells = F.transform(F.sequence(F.lit(0), F.greatest("deal", F.lit(1)) - 1), lambda x: F.struct(F.least(x, "side").alias("i"), F.greatest(x, "side").alias("j")))
+    placed = placed.select("key", "vid", "part", "side", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "vid", "part", "side")
+    dealt = placed.join(sets, "vid").select("key", "i", "j", "vid", "part", "side", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            ids, labels, sides, data = zip(*rows, strict=True)
+            return _similar_forest(list(ids), list(labels), np.array(sides), [np.frombuffer(x, np.uint64) for x in data], similarity)
+
+        now, held = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, i, j) != now:
+                    found += links(held) if held else []
+                    now, held = (key, i, j), []
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+        if held:
+            found = links(held)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+    rest = written(dealt.mapInArrow(cells_of, "u long, v long"), "simhash-rest")
+    discard(buckets, members, sets, labelled, left)
+    return stars.union(rest)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, but of each group of near-duplicates only the row with the smallest id.
 
-    The defaults stand for shingles of five words and a Jaccard similarity of 0.8 or more, at which about 0.15 of the bits
-    differ: fingerprints have 192 bits, so that the estimate is sharp, and link at 36 or fewer differing bits if one of
-    their twelve blocks is within one bit. Groups are what links reach. A null id comes after all others; among rows that
+    Near-duplicates are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates are
+    those that share one of ``BANDS`` keys, which at 0.8 all but 5 in a million pairs do; a candidate becomes a link only
+    if the whole sets have the similarity. Groups are what links reach. A null id comes after all others; among rows that
     repeat the id, one is kept. Null and empty texts are near-duplicates of each other.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    names = [f"f{k}" for k in range(words)]
+    rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "simhash-docs")  # a table, so that rows keep their numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t or b"", shingle_words, words) for t in b.column(2).to_pylist()]
-            fps = np.array([f for f, _ in found], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)), pa.array([n for _, n in found], pa.int64())], ["rid", "id", *names, "n"])
+            sets = [shingle_set(t or b"", shingle_words) for t in b.column(2).to_pylist()]
+            marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets]).reshape(-1, 2)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sets).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(2)), bands], ["rid", "id", "d0", "d1", "bands"])
 
-    marked = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    marked = written(marked.mapInArrow(run, f"rid long, id long, {', '.join(f'{x} long' for x in names)}, n long"), "simhash-rows")
+    bare = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    marked = written(bare.mapInArrow(run, "rid long, id long, d0 long, d1 long, bands array<long>"), "simhash-rows")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
-    classes = written(marked.groupBy(*names).agg(first.alias("one"), F.max("n").alias("n")).select(F.col("one.rid").alias("vid"), "*"), "simhash-firsts")
-    parts = connected_components(linked_fingerprints(classes, max_bits, blocks, "vid", tuple(names), "n"))
+    classes = written(marked.groupBy("d0", "d1", "bands").agg(first.alias("one")).select(F.col("one.rid").alias("vid"), "one", "bands"), "simhash-firsts")
+    parts = connected_components(similar_sets(classes, bare.select(F.col("rid").alias("vid"), "t"), shingle_words, similarity))
     named = classes.join(parts, classes.vid == parts.id, "left").select("one", F.coalesce("component", "vid").alias("part"))
     keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias("__rid")), "simhash-kept")
     discard(marked, classes)

@@ -79,3 +79,33 @@ def test_near_duplicates_cases(spark):
     assert sum(r.doc_id == 8 and r.component_id == 8 for r in got) == 2
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_one_of_each_equals_brute_force(spark, monkeypatch, small):
+    if small:  # buckets in several cells
+        monkeypatch.setattr(simhash, "CELL_BYTES", 4000)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    texts = [None, "", "two words", "Two  Words"]
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(40, 200))]
+        texts.append(" ".join(base))
+        for _ in range(5):  # similarities from 0.5 to 1, most about 0.7 to 0.9
+            now = list(base)
+            for i in rng.sample(range(len(now)), max(1, int(len(now) * rng.choice([0.01, 0.02, 0.03, 0.04, 0.06])))):
+                now[i] = word()
+            texts.append(" ".join(now))
+    hot = [word() for _ in range(100)]  # many share a passage that makes them alike to a half
+    texts += [" ".join(hot + [word() for _ in range(rng.randint(20, 60))]) for _ in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    up, find = components(set(range(len(texts))))
+    near = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+            near += 1
+    assert near > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {find(x) for x in up}
