@@ -23,8 +23,6 @@ BITS = 64
 SEED = 42
 #: Members of one anchor that are compared as one numpy block.
 COMPARE = 256
-#: Shingle counts of two texts that may be similar to 0.8, with some room for repeated shingles.
-SIZE_RATIO = 0.7
 #: Keys of a set of shingles and minima in a key: of pairs at 0.8, 1 - (1 - 0.8^6)^40 have a key in common.
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of sets that are compared in one cell of a divided bucket.
@@ -164,20 +162,16 @@ def anchor_rows(fps: DataFrame, max_bits: int, blocks: int, word: str = "fp", fi
     return spread.select(anchor.alias("anchor"), F.col("a.home").alias("home"), *kept)
 
 
-def _forest(ids: np.ndarray, words: list[np.ndarray], sizes: np.ndarray | None, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there.
-    With ``sizes`` given, in ascending order, only members whose sizes are within ``SIZE_RATIO`` are compared."""
+def _forest(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there."""
     n = len(ids)
     label = np.arange(n)
     heads, tails = [], []
     hs = np.flatnonzero(home)
     for a in range(0, len(hs), COMPARE):
         left = hs[a : a + COMPARE]
-        begin, end = 0, n
-        if sizes is not None:
-            begin, end = int(np.searchsorted(sizes, SIZE_RATIO * sizes[left[0]])), int(np.searchsorted(sizes, sizes[left[-1]] / SIZE_RATIO, "right"))
-        for c in range(begin, end, COMPARE):
-            z = min(end, c + COMPARE)
+        for c in range(0, n, COMPARE):
+            z = min(n, c + COMPARE)
             d = np.zeros((len(left), z - c), np.uint16)
             for w in words:
                 d += np.bitwise_count(w[left][:, None] ^ w[None, c:z])
@@ -194,7 +188,7 @@ def _forest(ids: np.ndarray, words: list[np.ndarray], sizes: np.ndarray | None,
     return ids[np.array(heads, np.int64)], ids[np.array(tails, np.int64)]
 
 
-def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_col: str = "fp", words: tuple[str, ...] = ("fp",), size_col: str | None = None) -> DataFrame:
+def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_col: str = "fp", words: tuple[str, ...] = ("fp",)) -> DataFrame:
     """Edges ``(u, v)`` between ids that join distinct fingerprints as the links of at most ``max_bits`` bits do: exactly
     so where ``max_bits`` is below twice the blocks, and else as far as two fingerprints have a block within one bit.
 
@@ -202,23 +196,23 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_c
     anchor's links it returns a spanning forest, fewer edges than members, never all pairs. An anchor can gather only
     distinct fingerprints, so copies do not load it.
     """
-    names = list(dict.fromkeys([id_col, *words, *([size_col] if size_col else [])]))
+    names = list(dict.fromkeys([id_col, *words]))
     rows = None
     for k, w in enumerate(words):
         part = anchor_rows(fps.select(*names), max_bits, blocks, w, k * blocks)
         rows = part if rows is None else rows.union(part)
-    dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", *([size_col] if size_col else []))
+    dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(anchor, home, *columns):
             by = dict(zip(names, columns, strict=True))
-            ids, parts, sizes = by[id_col], [by[w].view(np.uint64) for w in words], by.get(size_col)
+            ids, parts = by[id_col], [by[w].view(np.uint64) for w in words]
             cut = np.flatnonzero(np.diff(anchor)) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
             us, vs = [], []
             with_home = np.add.reduceat(home.astype(np.int64), starts)
             for a, z in zip(starts[k := (ends - starts > 1) & (with_home > 0)].tolist(), ends[k].tolist(), strict=True):
-                u, v = _forest(ids[a:z], [p[a:z] for p in parts], None if sizes is None else sizes[a:z], home[a:z], max_bits)
+                u, v = _forest(ids[a:z], [p[a:z] for p in parts], home[a:z], max_bits)
                 us.append(u)
                 vs.append(v)
             if us and sum(map(len, us)):

@@ -109,3 +109,10 @@ def test_one_of_each_equals_brute_force(spark, monkeypatch, small):
     assert near > 100
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {find(x) for x in up}
+
+
+def test_repeated_text_is_linked(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (2, f"{base} {base}"), (3, " ".join(f"v{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {1, 3}
