@@ -38,7 +38,7 @@ MOST = (1 << 21) - 1
 #: Ranges of digests that the strings of a divided anchor are merged in, for each of its shards.
 LANES = 4
 _BASE = 0x9E3779B97F4A7C15  # any odd number will do
-_TEXT_BITS, _WIDTH_BITS = 24, 8
+_WIDTH_BITS = 8
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +195,16 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(edge == -1) - starts
 
 
-def _spot(start: int, width: int, text_hash: int) -> int:
-    """Start (31 bits), width (8 bits) and 24 bits of the text's hash, which tells rows that repeat an id apart."""
-    return (text_hash << 39) | (start << _WIDTH_BITS) | width
+def _spot(start: int, width: int) -> int:
+    """Start (31 bits) and width (8 bits)."""
+    return (start << _WIDTH_BITS) | width
 
 
 def _list_pieces(docs: DataFrame, length: int) -> DataFrame:
-    """``(anchor, digest, k, spot)`` of every piece of ``docs(k, th, t)``."""
+    """``(anchor, digest, k, spot)`` of every piece of ``docs(k, t)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(texts, keys, hashes, offsets):
+        def flush(texts, keys, offsets):
             raw = b"".join(texts)
             data = np.frombuffer(raw, np.uint8)
             owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts]) if len(texts) > 1 else None
@@ -213,18 +213,18 @@ def _list_pieces(docs: DataFrame, length: int) -> DataFrame:
             first = np.cumsum([0, *[len(t) for t in texts]])[:-1]
             place = start - first[of] + np.array(offsets)[of]
             digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(start.tolist(), (start + width + length - 1).tolist(), strict=True)), np.uint64, len(start))
-            spot = (np.array(hashes, np.int64)[of] << 39) | (place << _WIDTH_BITS) | width
+            spot = (place << _WIDTH_BITS) | width
             return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(np.array(keys, np.int64)[of]), pa.array(spot)], ["anchor", "digest", "k", "spot"])
 
-        held, size = ([], [], [], []), 0
+        held, size = ([], [], []), 0
         for b in batches:
-            for k, th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a in range(0, max(1, len(t) - length + 1), BLOCK - length + 1):  # blocks of a long text overlap by one string less a byte
                     part = t[a : a + BLOCK]
                     if size + len(part) > BLOCK and size:
                         yield flush(*held)
-                        held, size = ([], [], [], []), 0
-                    for x, v in zip(held, (part, k, th, a), strict=True):
+                        held, size = ([], [], []), 0
+                    for x, v in zip(held, (part, k, a), strict=True):
                         x.append(v)
                     size += len(part)
         if size:
@@ -238,9 +238,7 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     the sorted runs of the merge ``(anchor, lane, digests, ks, spots)``, a row a range."""
 
     def run(table: pa.Table) -> pa.Table:
-        once = {(k, spot): (anchor, deal, b) for k, spot, anchor, deal, b in zip(*(table[c].to_pylist() for c in ("k", "spot", "anchor", "deal", "bytes")), strict=True)}  # a row that repeats id and text comes twice
-        ks, spots = [k for k, _ in sorted(once)], [s for _, s in sorted(once)]
-        anchors, deals, parts = (list(x) for x in zip(*(once[x] for x in sorted(once)), strict=True))
+        ks, spots, anchors, deals, parts = (list(x) for x in zip(*sorted(zip(*(table[c].to_pylist() for c in ("k", "spot", "anchor", "deal", "bytes")), strict=True)), strict=True))
         out_k, out_spot = [], []
         lanes: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
         a = 0
@@ -251,15 +249,15 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 z += 1
             again, first = repeated_strings(parts[a:z], length)
             for i in range(a, z):
-                th, start = spots[i] >> 39, (spots[i] >> _WIDTH_BITS) & 0x7FFFFFFF
+                start = spots[i] >> _WIDTH_BITS
                 for s, n in zip(*(x.tolist() for x in _runs(again[i - a])), strict=True):
                     out_k.append(ks[i])
-                    out_spot.append(_spot(start + s, n, th))
+                    out_spot.append(_spot(start + s, n))
                 if deals[i] or z - a < len(parts):
                     many = LANES * max(4, deals[i])
                     for s in np.flatnonzero(first[i - a]).tolist():
                         d = xxhash.xxh3_128_digest(parts[i][s : s + length])
-                        lanes.setdefault((anchors[i], int.from_bytes(d[:8], "big") * many >> 64), []).append((d, ks[i], _spot(start + s, 1, th)))
+                        lanes.setdefault((anchors[i], int.from_bytes(d[:8], "big") * many >> 64), []).append((d, ks[i], _spot(start + s, 1)))
             a = z
         n = len(out_k)
         ranges = [(key, sorted(found)) for key, found in sorted(lanes.items())]
@@ -300,16 +298,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Adds ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (binary: the remaining bytes) and ``kept_text`` (the
     same as a string, without characters that a cut goes through) to the columns of ``docs``. Texts count as UTF-8 bytes, a null text as an empty one; strings never reach over two rows, are judged on the
-    input, and may overlap. Rows that repeat an id are rows of their own, told apart by their texts; those that repeat a
-    text as well repeat each other. A null id is an id. An empty table gives an empty result. Columns of ``docs`` keep their
+    input, and may overlap. Rows are told apart by numbers that a written copy of ``docs`` gives them, whatever their ids:
+    those that repeat an id, or have none, are rows of their own, and those that repeat a text repeat each other. An empty table gives an empty result. Columns of ``docs`` keep their
     names, whatever they are; the five new names replace such columns.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    short = F.xxhash64(text).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1).cast("long"))
-    bare = docs.select(key.alias("k"), short.alias("th"), text.cast("binary").alias("t"))
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("k")), "suffixes-rows")
+    bare = rows.select("k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
     pieces = written(_list_pieces(bare, length), "suffixes-pieces")
     anchors = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
     anchors = written(anchors, "suffixes-anchors")  # a plain table, so that a join with a hot anchor can be split
@@ -328,17 +324,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salt = F.pmod(F.xxhash64("k", "spot"), F.coalesce("deal", F.lit(1)))
     asked = dealt.select("k", "spot", "anchor", F.coalesce("deal", F.lit(0)).alias("deal"), F.when(F.col("deal").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", salt)).alias("shard"))
     start = F.expr(f"cast(shiftright(spot, {_WIDTH_BITS}) & 2147483647 as int)")
-    th = F.expr("shiftrightunsigned(spot, 39)")
     texts = bare.where(F.octet_length("t") >= length)
-    wanted = asked.groupBy("k", th.alias("th")).agg(F.collect_list(F.struct("spot", "anchor", "deal", "shard")).alias("asks"))  # no more than a text has pieces
-    cut = texts.join(wanted, ["k", "th"]).select("k", "t", F.explode("asks").alias("a")).select("k", "t", "a.*")
+    wanted = asked.groupBy("k").agg(F.collect_list(F.struct("spot", "anchor", "deal", "shard")).alias("asks"))  # no more than a text has pieces
+    cut = texts.join(wanted, "k").select("k", "t", F.explode("asks").alias("a")).select("k", "t", "a.*")
     cut = cut.select("shard", "deal", "anchor", "k", "spot", F.substring("t", start + 1, (width + F.lit(length - 1)).cast("int")).alias("bytes"))
     runs, lanes = _shards(cut, length)
     found = copies.union(runs).union(_merged(lanes))
-    spans = found.groupBy("k", th.alias("th")).agg(F.collect_list("spot").alias("spots"))  # no more than a text has strings
+    spans = found.groupBy("k").agg(F.collect_list("spot").alias("spots"))  # no more than a text has strings
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("k"), short.alias("th"), text.cast("binary").alias("t"))
-    joined = whole.join(spans, ["k", "th"], "left").select("row", "t", "spots")
+    whole = rows.select(F.struct(*[F.col("row").getField(c).alias(c) for c in names]).alias("row"), "k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+    joined = whole.join(spans, "k", "left").select("row", "t", "spots")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

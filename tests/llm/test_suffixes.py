@@ -93,3 +93,17 @@ def test_empty(spark):
     assert suffixes.remove_repeats(df).collect() == []
     one = spark.createDataFrame([(1, "z" * 199), (2, None)], "doc_id long, text string")
     assert [(r.n_removed, r.n_spans) for r in suffixes.remove_repeats(one).collect()] == [(0, 0)] * 2
+
+
+def test_rows_without_an_id_stay_apart(spark, monkeypatch):
+    """Texts of one length whose 24 lowest hash bits are equal, so that all but the whole row would mix them up."""
+    from pyspark.sql import functions as F
+
+    found = spark.range(12000).select(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("-")).alias("p")).select(F.concat("p", F.repeat(F.sha2("p", 256), 2)).alias("t"))
+    low = found.withColumn("h", F.xxhash64("t").bitwiseAND(F.lit((1 << 24) - 1).cast("long")))
+    first, second = low.groupBy("h").agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").orderBy("h").first().ts[:2]
+    texts = [first, second, first]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = suffixes.remove_repeats(df, length=60).select("text", "n_removed", "n_spans").collect()
+    want = [(t, b[1], b[2]) for t, b in zip(texts, brute([t.encode() for t in texts], 60), strict=True)]
+    assert Counter(map(tuple, got)) == Counter(want)
