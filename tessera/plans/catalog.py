@@ -463,7 +463,7 @@ def graph_neighbors(spark, sf):
     SELECT id, cost, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, path) = 1""",
 )
 def graph_shortest_path(spark, sf):
-    found = graph.shortest_paths(derived.nation_graph(spark, sf)[1], 0, 8)
+    found = graph.shortest_paths(derived.nation_graph(spark, sf)[1], 0)
     return found.select("id", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

@@ -196,3 +196,11 @@ def test_streaming(spark, tmp_path):
     assert sum(seen) == 1000
     continuous.write_behind(src, str(tmp_path / "o"), str(tmp_path / "oc")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1000
+
+
+def test_registered_shortest_path_has_no_bound(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    edges = spark.range(10).selectExpr("id AS src", "id + 1 AS dst", "'x' AS type", "1L AS weight")
+    monkeypatch.setattr(catalog.derived, "nation_graph", lambda *_: (spark.range(11), edges))
+    assert {r.id: r.cost for r in catalog.QUERIES["graph_shortest_path"](spark, "").collect()} == {i: float(i) for i in range(11)}
