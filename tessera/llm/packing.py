@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -94,18 +95,18 @@ def places(found: list[tuple[dict[int, int], int]]) -> tuple[dict[int, tuple[lis
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, window: int, end_id: int, keeps_space: bool) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, part, rank)``: rank counts, in this task, pieces of the same length."""
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = encoder_of(tokenizer_path, keeps_space), TaskContext.get().partitionId(), [0] * (window + 1)
         for b in batches:
             rows = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n, view = len(ids) // 4, memoryview(ids)
+            for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
+                ids = np.concatenate((ids, end))
+                n = len(ids)
                 for a in range(0, n, window):
                     z = min(n, a + window)
-                    rows.append((i, a, z - a, zlib.crc32(view[4 * a : 4 * z]), n, part, seen[z - a]))
+                    rows.append((i, a, z - a, zlib.crc32(ids[a:z]), n, part, seen[z - a]))
                     seen[z - a] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int64()] * 5 + [pa.int32(), pa.int64()], strict=True)], [*_PIECE, "part", "rank"])
 

@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
 
     if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) > 1 << 16:
         kind = "<u4"
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder = TaskContext.get().partitionId(), None
@@ -71,10 +71,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
                 attempt = f"{root}/_{part}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{attempt}.ids")
             lengths = []
-            for ids in encoder.encode(b.column(1).to_pylist()):
-                ids += end
-                lengths.append(len(ids) // 4)
-                out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+            for ids in encoder.encode(b.column(1)):
+                lengths.append(len(ids) + 1)
+                out.write(np.concatenate((ids.astype(kind), end)).tobytes())
             offsets.append(offsets[-1][-1] + np.cumsum(lengths))
             own.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
         if encoder is None:

@@ -1,25 +1,48 @@
-"""Tokenisation with the ``tokenizers`` library, remembering the ids of what stands between spaces."""
+"""Tokenisation with the ``tokenizers`` library, remembering the ids of the pieces that texts are made of."""
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
-#: Chunks that a worker remembers in each of two generations, and the length beyond which one is not remembered.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces that a worker remembers in each of two generations, and the length beyond which one is not remembered.
 REMEMBERED = 250_000
 LONGEST = 48
-_STOPS = frozenset(",.;:!?")
+#: Pieces sent to the library at once; bytes of a text beyond which it is encoded in segments.
+LIBRARY_PIECES, SEGMENT = 20_000, 1 << 22
+#: White space as either tokenizer or Python sees it, and a space with white space, or a text's end, on both of its sides.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"(?:^|[{_SPACE}]) (?:[{_SPACE}]|$)"
+#: Latin and Cyrillic letters that every Unicode version knows, and that lower-casing maps one to one.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſЀ-џ"
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+#: A mark for where a chunk is taken apart; a text that has the character itself goes to the library whole.
+_CUT = "\x00"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level tokenizers write bytes as: printable Latin-1 as it is, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class ChunkEncoder:
-    """Encodes texts as the tokenizer file does, but each chunk between spaces only once.
+    """Encodes texts as the tokenizer file does, but each piece of them only once.
 
     Both kinds of tokenizer used here cut a text before merging, and what they cut out never reaches over a space: the
     word kind drops white space; the byte kind puts a space in front of what follows it. A text is therefore the
-    concatenation of its chunks' ids, with one exception for the byte kind: where white space stands on both sides of a
-    space, the run is cut elsewhere, and such a text goes to the library whole. Nor does a cut piece reach from a letter
-    to a stop, or over a single line feed between two other characters, so a chunk is taken apart there as well. When a
-    generation is full, it becomes the old one; what is met again moves to the new.
+    concatenation of its chunks' ids, with two exceptions that go to the library whole: texts in which an added token
+    might stand, and, for the byte kind, texts with white space on both sides of a space, where the run is cut elsewhere.
+    Nor does a cut piece reach from a letter to a stop, or over a single line feed between two other characters, so a
+    chunk is taken apart there as well. Chunks and pieces are made distinct and put together again in Arrow and numpy;
+    Python sees each distinct piece of a batch once. A piece of letters alone goes straight to the library's merging step.
+    When a generation is full, it becomes the old one; what is met again moves on.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -27,90 +50,120 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.merge = self.library.model.tokenize
+        self.letters = byte_letters()
+        #: What added tokens begin with; a text that holds such a beginning goes to the library whole.
+        self.marks = sorted({_CUT, *(x.content[:2] for x in self.library.get_added_tokens_decoder().values())})
         self.keeps_space = keeps_space
-        self.lead = " " if keeps_space else ""
-        # ids of chunks, with the space in front where it is kept, and of parts that stand inside of a chunk
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        probe = [" The" if keeps_space else "The", "Größe", "дом", "x"]
+        self.direct = self._merged(probe) == self._whole(probe)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for a in range(0, len(texts), LIBRARY_PIECES) for e in self.library.encode_batch_fast(texts[a : a + LIBRARY_PIECES], add_special_tokens=False)]
 
-    def _parts(self, chunk: str) -> list[str]:
-        """A chunk as parts that the library may encode one by one."""
-        if "\n" not in chunk:
-            return [chunk[:-1], chunk[-1]] if chunk[-1:] in _STOPS and chunk[-2:-1].isalpha() else [chunk]
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The ids of words, which are one cut piece each, by the merging step alone."""
+        merge, letters, keeps = self.merge, self.letters, self.keeps_space
         out = []
-        lines = chunk.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            lines = [chunk]
-        for k, x in enumerate(lines):
-            if k:
-                out.append("\n")
-            if len(x) > 1 and x[-1] in _STOPS and x[-2].isalpha():
-                out += [x[:-1], x[-1]]
-            else:
-                out.append(x)
+        for w in words:
+            w = w if keeps else w.lower()
+            w = w.replace(" ", letters[32]) if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            out.append(array("I", [t.id for t in merge(w)]).tobytes())
         return out
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Remembers the ids of chunks that aren't in the new generation; returns those that are too long to remember."""
-        known, old, bare = self.known, self.old, self.bare
-        split = {}
-        for w in chunks:
-            if w in old:
-                known[w] = old[w]
-            else:
-                split[w] = self._parts(w)
-        firsts = {p[0]: None for p in split.values() if p[0] not in known}
-        rest = {x: None for p in split.values() for x in p[1:] if x not in bare}
-        long: dict[str, bytes] = {}
-        for names, lead, at in ((firsts, self.lead, known), (rest, "", bare)):
-            todo = list(names)
-            for a in range(0, len(todo), 20_000):
-                some = todo[a : a + 20_000]
-                for x, ids in zip(some, self._ids([lead + x for x in some]), strict=True):
-                    at[x] = ids
-        for w, p in split.items():
-            if len(p) > 1:
-                known[w] = known[p[0]] + b"".join([bare[x] for x in p[1:]])
-        for x in {x for x in (*split, *firsts) if len(x) > LONGEST}:
-            long[x] = known.pop(x)
-        for x in rest:
-            if len(x) > LONGEST:
-                del bare[x]
-        return long
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none for a null or empty text."""
-        split = [(t or "").split(" ") for t in texts]
-        heads: list[bytes] = [b""] * len(split)
-        if self.keeps_space:
-            heads = self._ids([c[0] for c in split])
-            split = [c[1:] for c in split]
+    def _pieces(self, names: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; those that are not too long are remembered."""
         if len(self.known) > REMEMBERED:
-            self.known, self.old, self.bare = {}, self.known, {}
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        out = [known.get(x) for x in names]
+        words, others = [], []
+        for k, found in enumerate(out):
+            if found is None:
+                x = names[k]
+                if x in old:
+                    out[k] = known[x] = old[x]
+                elif self.direct and len(x) <= LONGEST and _WORD.fullmatch(x):
+                    words.append(k)
+                else:
+                    others.append(k)
+        for places, encode in ((words, self._merged), (others, self._whole)):
+            for k, ids in zip(places, encode([names[k] for k in places]), strict=True):
+                out[k] = ids
+                if len(names[k]) <= LONGEST:
+                    known[names[k]] = ids
+        return out
+
+    def _together(self, texts: pa.Array, begins: bool) -> list[np.ndarray]:
+        """The ids of texts that are concatenations of their chunks; ``begins``: their first chunks have no space in front."""
+        chunks, offsets = _split(texts, " ")
+        coded = chunks.dictionary_encode()
+        index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         if self.keeps_space:
-            self.odd.update([w for w in new if not w or w[0].isspace()])
-        long = self._learn(new)
-        out = []
-        for t, head, c in zip(texts, heads, split, strict=True):
-            if self.odd and not self.odd.isdisjoint(c):
-                before = [t.split(" ", 1)[0], *c]
-                if any((not w or w[0].isspace()) and (not p or p[-1].isspace()) for p, w in zip(before, c)):
-                    out.append(self._ids([t])[0])
-                    continue
-            try:
-                out.append(head + b"".join(map(known.__getitem__, c)))
-            except KeyError:
-                out.append(head + b"".join([known[w] if w in known else long[w] for w in c]))
+            spaced = pc.binary_join_element_wise(" ", names, "")
+            if begins:
+                first, inverse = np.unique(index[offsets[:-1]], return_inverse=True)
+                index[offsets[:-1]] = len(names) + inverse
+                spaced = pa.concat_arrays([spaced, names.take(pa.array(first))])
+            names = spaced
+        parts = pc.replace_substring_regex(names, f"([{_LETTERS}])([,.;:!?])", rf"\1{_CUT}\2")
+        parts = pc.replace_substring_regex(parts, rf"([^{_SPACE}])\n([^{_SPACE}])", rf"\1{_CUT}" + "\n" + rf"{_CUT}\2")
+        parts, cuts = _split(parts, _CUT)
+        coded = parts.dictionary_encode()
+        found = self._pieces(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, bounds = _gathered(pool, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(), cuts)
+        ids, bounds = _gathered(pool, bounds[:-1], np.diff(bounds), index, offsets)
+        return [ids[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; none for a null or empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        whole = pa.array(np.zeros(len(texts), bool))
+        for mark in self.marks:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        if self.keeps_space:
+            whole = pc.or_(whole, pc.match_substring_regex(texts, _ODD))
+        long = pc.and_(pc.invert(whole), pc.greater(pc.binary_length(texts), SEGMENT))
+        apart = np.flatnonzero(pc.or_(whole, long).to_numpy(zero_copy_only=False)).tolist()
+        if not apart:
+            return self._together(texts, True)
+        out = self._together(pc.if_else(pc.or_(whole, long), "", texts), True)
+        for i in apart:
+            out[i] = self._in_segments(texts[i].as_py()) if long[i].as_py() else np.frombuffer(self._whole([texts[i].as_py()])[0], "<u4")
         return out
 
+    def _in_segments(self, text: str) -> np.ndarray:
+        """The ids of a very long text, cut at spaces, so that what is held beside it is bounded."""
+        found, at = [], 0
+        while at <= len(text):
+            stop = text.find(" ", at + SEGMENT)
+            stop = len(text) if stop < 0 else stop
+            found += self._together(pa.array([text[at:stop]]), not at)
+            at = stop + 1
+        return np.concatenate(found)
+
+
+def _split(texts: pa.Array, at: str) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, and where in them each text begins."""
+    split = pc.split_pattern(texts, at)
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    return split.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+
+
+def _gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``begin, sizes`` of ``pool`` in the order of ``index``, one after the other, and the bounds in the result of
+    the groups that ``offsets`` makes of ``index``."""
+    n = sizes[index]
+    ends = np.cumsum(n)
+    out = pool[np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    return out, np.concatenate(([0], ends))[offsets]
+
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
