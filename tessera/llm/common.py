@@ -67,6 +67,14 @@ def discard(*tables: DataFrame) -> None:
                 at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limits Arrow batches by bytes, so that many long texts never meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

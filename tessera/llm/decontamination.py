@@ -1,9 +1,12 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-The rarest term of every benchmark window is found from counts over all documents, and only the postings of those terms
-are stored. A posting holds the words around it that a window could cover, so that the offset-adjusted lists of a window's
-other terms are intersected in place: the second-rarest term first, then the whole window. The benchmark's terms and
-windows are broadcast as long as they are few (``BROADCAST_TERMS``, ``BROADCAST_WINDOWS``), and shuffled beyond that.
+The index holds a posting, document and position, for every occurrence of a benchmark term in the documents; a join with
+the benchmark's terms keeps out all other words before anything is written. It is laid out by documents, as the scan found
+them, so that building it needs no shuffle. Terms are counted from the index. A window of benchmark words is then sought
+from its rarest term: that term's postings, moved back by its offset, are the list of places where the window might begin;
+the list is intersected with the second-rarest term's, moved by its own offset, and what is left with those of all other
+terms. The benchmark's terms and windows are broadcast as long as they are few (``BROADCAST_TERMS``,
+``BROADCAST_WINDOWS``), and shuffled beyond that.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import discard, free_name, written
 
 WORDS = 10
 #: Rows of the benchmark's side that may be broadcast: terms of a few bytes, windows of at most WORDS terms.
 BROADCAST_TERMS, BROADCAST_WINDOWS = 1_000_000, 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Stands after the last word of each document, so that a document without postings has a row in the index as well.
-END = "\x00"
+#: The term of a row that each document has in the index beside its postings; it stands after the last word.
+END = -1
 
 
 def words(text: Column) -> Column:
@@ -35,13 +38,6 @@ def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """``(term, n)`` over all documents for every row of ``terms(term)``, zero included. The terms are filtered before the
-    shuffle, which gets one row a term and task."""
-    seen = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(_small(terms, rows, BROADCAST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """``(item, terms)``: every run of ``size`` words of an item, or all its words if it has fewer. Null and wordless texts
     have none."""
@@ -50,66 +46,86 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return w.select("item", "w", F.explode(starts).alias("s")).select("item", F.expr(f"slice(w, s, {size})").alias("terms")).distinct()
 
 
-def rarest_first(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds each window's rarest term, its offset, and the second-rarest with its own. A window with a term that no
-    document has cannot occur and goes."""
-    flat = wins.withColumn("window_id", F.monotonically_increasing_id())
-    flat = written(flat, "decontamination-windows")
-    each = flat.select("window_id", F.posexplode("terms").alias("off", "term")).join(counts, "term")
-    ranked = each.groupBy("window_id").agg(F.min("n").alias("least"), F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("by"))  # at most WORDS entries
-    first, second = F.col("by")[0], F.get(F.col("by"), F.lit(1))
-    chosen = ranked.where("least > 0").select("window_id", first["term"].alias("term"), first["off"].alias("off"), F.coalesce(second["term"], first["term"]).alias("term2"), F.coalesce(second["off"], first["off"]).alias("off2"))
-    return flat.join(chosen, "window_id")
+def benchmark_terms(wins: DataFrame) -> tuple[DataFrame, int]:
+    """``(term, tid)`` of every term of the windows, and how many there are."""
+    terms = written(wins.select(F.explode("terms").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("tid")), "decontamination-terms")
+    return terms, terms.count()
 
 
-def store_postings(docs: DataFrame, seeds: DataFrame, text_col: str, rows: int, keep: list[str]) -> DataFrame:
-    """The index: ``(rid, *keep, n_words, term, pos, before, around)`` for every occurrence of a term of ``seeds(term,
-    left, right)`` in ``docs``, and one row with the term ``END`` for every document.
+def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, text_col: str = "text", keep: tuple[str, ...] = (), rid: str | None = None) -> DataFrame:
+    """The written index ``(rid, n_words, tid, pos, *keep)``: a posting for every occurrence of a row of ``terms(term, tid)``,
+    and for every document a row with ``tid`` of ``END``, which alone has the columns ``keep``.
 
-    ``around`` holds the words from ``left`` before to ``right`` after the occurrence, as far as there are any, and
-    ``before`` how many of them come before it.
+    ``rid`` names a column that tells documents apart; without it they are numbered as the index is written.
     """
-    spark = docs.sparkSession
-    marks = seeds.union(spark.createDataFrame([(END, 0, 0)], "term string, left int, right int"))
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, words(F.col(text_col)).alias("w"))
-    e = d.select("rid", *keep, "w", F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "term"))
-    hit = e.join(_small(marks, rows, BROADCAST_TERMS), "term")
-    before = F.least("pos", "left")
-    found = hit.select("rid", *keep, "n_words", "term", "pos", before.alias("before"), F.when(F.col("term") != END, F.slice("w", F.col("pos") - before + 1, before + 1 + F.col("right"))).alias("around"))
-    return written(found, "decontamination-postings")
-
-
-def phrase_matches(postings: DataFrame, seeded: DataFrame, rows: int) -> DataFrame:
-    """``(rid, item, start, length)`` of every exact occurrence of a window."""
-    p = postings.where(F.col("term") != END)
-    w = seeded.withColumnRenamed("off", "w_off")
-    at = F.col("before") - F.col("w_off")
-    fits = (p.term == w.term) & (at >= 0)
-    fits = fits & (F.get(F.col("around"), at + F.col("off2")) == F.col("term2"))
-    fits = fits & (F.slice("around", F.greatest(at, F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-    found = p.join(_small(w, rows, BROADCAST_WINDOWS), fits)
-    return found.select("rid", "item", (F.col("pos") - F.col("w_off")).alias("start"), F.size("terms").alias("length"))
-
-
-def proximity_matches(postings: DataFrame, seeded: DataFrame, rows: int) -> DataFrame:
-    """``(rid, item, pos)`` of every occurrence of a window's rarest term that has all the window's other terms, in any
-    order, among the words stored around it."""
-    p = postings.where(F.col("term") != END)
-    w = seeded.withColumnRenamed("off", "w_off")
-    found = p.join(_small(w, rows, BROADCAST_WINDOWS), (p.term == w.term) & (F.size(F.array_except("terms", "around")) == 0))
-    return found.select("rid", "item", "pos")
-
-
-def build_index(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS, slop: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """The stored postings, the windows with their rarest terms, and how many windows there are. ``slop`` widens what is
-    stored around a posting, for proximity matches."""
-    wins = windows(benchmark, item_col, item_text_col, size)
-    terms = written(wins.select(F.explode("terms").alias("term")).distinct(), "decontamination-terms")
-    n_terms = terms.count()
-    counts = written(term_counts(docs, terms, text_col, n_terms), "decontamination-counts")
-    seeded = written(rarest_first(wins, counts), "decontamination-seeded")
-    seeds = seeded.groupBy("term").agg((F.max("off") + slop).cast("int").alias("left"), (F.max(F.size("terms") - 1 - F.col("off")) + slop).cast("int").alias("right"))
-    return store_postings(docs, seeds, text_col, n_terms, keep), seeded, seeded.count()
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    d = docs.select(number.alias("rid"), *keep, words(F.col(text_col)).alias("w"))
+    e = d.select("rid", *keep, F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("\x00")))).alias("pos", "term"))
+    marks = terms.union(docs.sparkSession.createDataFrame([("\x00", END)], "term string, tid long"))
+    hit = e.join(_small(marks, n_terms, BROADCAST_TERMS), "term")
+    return written(hit.select("rid", "n_words", "tid", "pos", *[F.when(F.col("tid") == END, F.col(c)).alias(c) for c in keep]), "decontamination-index")
+
+
+def rarest_first(wins: DataFrame, terms: DataFrame, index: DataFrame, n_terms: int) -> tuple[DataFrame, DataFrame, int]:
+    """``(pattern, size, by)`` of the distinct windows, ``by`` being their ``(n, off, tid)`` from the rarest term on, how often
+    each occurs in the index included; the items of each pattern; and how many patterns there are. A window with a term
+    that no document has cannot occur and goes."""
+    counts = index.where(F.col("tid") != END).groupBy("tid").agg(F.count("*").alias("n"))
+    known = terms.join(_small(counts, n_terms, BROADCAST_TERMS), "tid")
+    patterns = written(wins.groupBy("terms").agg(F.collect_set("item").alias("items")).withColumn("pattern", F.monotonically_increasing_id()), "decontamination-windows")
+    each = patterns.select("pattern", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term")).join(_small(known, n_terms, BROADCAST_TERMS), "term")
+    ranked = each.groupBy("pattern").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "off", "tid"))).alias("by"))  # at most a window's words
+    ranked = written(ranked.where(F.size("by") == F.col("size")), "decontamination-ranked")
+    return ranked, patterns.select("pattern", F.explode_outer("items").alias("item")), ranked.count()
+
+
+def _of_terms(index: DataFrame, ranked: DataFrame, rank: int, n_terms: int) -> DataFrame:
+    """The postings of the terms that have that rank in some window."""
+    asked = ranked.where(F.col("size") > rank).select(F.col("by")[rank]["tid"].alias("tid")).distinct()
+    return index.join(_small(asked, n_terms, BROADCAST_TERMS), "tid", "left_semi")
+
+
+def phrase_matches(index: DataFrame, ranked: DataFrame, n_patterns: int, n_terms: int) -> DataFrame:
+    """``(rid, pattern, start, length)`` of every exact occurrence of a window, written.
+
+    Lists of possible beginnings are intersected on document and place: the rarest term's with the second-rarest's, and
+    those that are left with all others', which only the documents still in question are asked for.
+    """
+    entry = lambda rank, name: F.get(F.col("by"), F.lit(rank))[name]
+    heads = ranked.select("pattern", "size", "by", entry(0, "tid").alias("tid"), entry(0, "off").alias("off"))
+    places = index.join(_small(heads, n_patterns, BROADCAST_WINDOWS), "tid").withColumn("start", F.col("pos") - F.col("off"))
+    places = places.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words"))).select("rid", "start", "pattern", "size", "by")
+    single = places.where("size = 1").select("rid", "pattern", "start", F.lit(1).alias("length"))
+    second = _of_terms(index, ranked, 1, n_terms).select("rid", "tid", "pos")
+    pairs = places.where("size > 1").select("rid", "start", "pattern", entry(1, "tid").alias("tid"), (F.col("start") + entry(1, "off")).alias("pos"))
+    left = written(pairs.join(second, ["rid", "tid", "pos"]).select("rid", "start", "pattern"), "decontamination-pairs")
+    rids = left.select("rid").distinct()
+    sought = left.join(_small(ranked, n_patterns, BROADCAST_WINDOWS), "pattern").select("rid", "start", "pattern", "size", F.explode_outer(F.expr("slice(by, 3, size)")).alias("x"))
+    asked = index.join(_small(rids, left.count(), BROADCAST_TERMS), "rid", "left_semi").select("rid", "tid", "pos")
+    two = sought.where("size = 2").select("rid", "pattern", "start", F.lit(2).alias("length"))
+    found = sought.where("size > 2").select("rid", "start", "pattern", "size", F.col("x.tid").alias("tid"), (F.col("start") + F.col("x.off")).alias("pos")).join(asked, ["rid", "tid", "pos"])
+    full = found.groupBy("rid", "start", "pattern").agg(F.count("*").alias("n"), F.first("size").alias("length")).where("n = length - 2")
+    out = written(single.union(two).union(full.select("rid", "pattern", "start", "length")), "decontamination-matches")
+    discard(left)
+    return out
+
+
+def proximity_matches(index: DataFrame, ranked: DataFrame, n_patterns: int, n_terms: int, slop: int) -> DataFrame:
+    """``(rid, pattern, pos)`` of every occurrence of a window's rarest term around which all of the window's terms stand, in
+    any order, among as many consecutive words as the window has and ``slop`` more. A term that the window repeats counts
+    once."""
+    heads = ranked.select("pattern", (F.col("size") + F.lit(slop - 1)).alias("width"), F.array_distinct(F.col("by.tid")).alias("tids"), F.col("by")[0]["tid"].alias("tid"))
+    places = index.join(_small(heads, n_patterns, BROADCAST_WINDOWS), "tid").select("rid", F.col("pos").alias("at"), "pattern", "width", "tids")
+    single = places.where(F.size("tids") == 1).select("rid", "pattern", F.col("at").alias("pos"))
+    near = lambda other: F.abs(other["pos"] - F.col("at")) <= F.col("width")
+    second = _of_terms(index, ranked, 1, n_terms).select("rid", "tid", "pos")
+    more = places.where(F.size("tids") > 1).withColumn("second", F.col("tids")[1])
+    left = more.join(second.withColumnRenamed("rid", "r"), (F.col("rid") == F.col("r")) & (F.col("second") == F.col("tid")) & near(second)).select("rid", "at", "pattern", "width", "tids").distinct()
+    sought = left.select("*", F.explode("tids").alias("tid"))
+    found = sought.join(index.select("rid", "tid", "pos"), ["rid", "tid"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("width"))
+    around = found.groupBy("rid", "at", "pattern").agg(F.first("width").alias("width"), F.first("tids").alias("tids"), F.collect_set(F.struct("pos", "tid")).alias("all"))  # at most two windows of words
+    within = F.expr("exists(`all`, x -> x.pos <= at and size(array_except(tids, transform(filter(`all`, y -> y.pos >= x.pos and y.pos <= x.pos + width), y -> y.tid))) = 0 and x.pos + width >= at)")
+    return single.union(around.where(within).select("rid", "pattern", F.col("at").alias("pos")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS) -> DataFrame:
@@ -121,24 +137,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Empty tables give an empty result, or one without hits. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    postings, seeded, n_windows = build_index(rows, benchmark, ["doc_id"], "text", item_col, item_text_col, size)
-    hits = phrase_matches(postings, seeded, n_windows)
+    wins = windows(benchmark, item_col, item_text_col, size)
+    terms, n_terms = benchmark_terms(wins)
+    index = build_index(rows, terms, n_terms, keep=("doc_id",))
+    ranked, items, n_patterns = rarest_first(wins, terms, index, n_terms)
+    hits = phrase_matches(index, ranked, n_patterns, n_terms)
     span = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e"))
-    found = hits.groupBy("rid").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    spans = hits.groupBy("rid").agg(F.sort_array(F.collect_set(span)).alias("spans"))  # no more than a text has words
+    named = hits.select("rid", "pattern").distinct().join(items, "pattern").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))  # no more than the benchmark has items
     covered = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)")
-    per = found.select("rid", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
-    every = postings.where(F.col("term") == END).select("rid", "doc_id", F.col("n_words").cast("long").alias("n_words"))
+    per = spans.join(named, "rid").select("rid", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
+    every = index.where(F.col("tid") == END).select("rid", "doc_id", F.col("n_words").cast("long").alias("n_words"))
     joined = every.join(per, "rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs."""
-    postings, seeded, n_windows = build_index(docs.select(F.col(text_col).alias("text")), benchmark, [], "text", item_col, item_text_col, size)
-    hit = written(phrase_matches(postings, seeded, n_windows).select(F.col("rid").alias("__rid")).distinct(), "decontamination-hit")
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())  # as in the index: numbered by the same scan
-    return rows.join(_small(hit, hit.count(), BROADCAST_TERMS), "__rid", "left_anti").drop("__rid")
+    """The rows of ``docs``, all columns as they are, in which no window of the benchmark occurs.
+
+    Rows are told apart by numbers that a written copy of ``docs`` gives them, so repeated rows are judged one by one, and
+    ``docs`` may come from any plan. A null text, and one without words, stays; an item without words matches nothing; with
+    an empty benchmark all rows stay, and an empty table gives an empty result. Columns keep their names, whatever they are.
+    """
+    rid = free_name(docs.columns, "rid")
+    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "decontamination-docs")
+    wins = windows(benchmark, item_col, item_text_col, size)
+    terms, n_terms = benchmark_terms(wins)
+    index = build_index(rows, terms, n_terms, text_col, rid=rid)
+    ranked, _, n_patterns = rarest_first(wins, terms, index, n_terms)
+    hit = written(phrase_matches(index, ranked, n_patterns, n_terms).select(F.col("rid").alias(rid)).distinct(), "decontamination-hit")
+    discard(index)
+    return rows.join(_small(hit, hit.count(), BROADCAST_TERMS), rid, "left_anti").drop(rid)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination as dc
 
@@ -60,13 +61,46 @@ def test_without_broadcast(spark, monkeypatch):
     assert sorted(got) == sorted(brute(docs, items, 2))
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "four x three y two"), (2, "two far away from it all and all of that is three four"), (3, "two three four")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "two three four")], "item_id long, text string")
-    postings, seeded, n = dc.build_index(docs, items, ["doc_id"], slop=4)
-    ids = postings.where(postings.term == dc.END).select("rid", "doc_id").distinct()
-    got = dc.proximity_matches(postings, seeded, n).join(ids, "rid").select("doc_id").distinct().collect()
-    assert {r.doc_id for r in got} >= {1, 3} and 2 not in {r.doc_id for r in got}
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [chr(97 + i) for i in range(12)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    items = [(j, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 5)))) for j in range(10)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wins = dc.windows(b, size=4)
+    terms, n_terms = dc.benchmark_terms(wins)
+    index = dc.build_index(d, terms, n_terms, keep=("doc_id",))
+    ranked, named, n = dc.rarest_first(wins, terms, index, n_terms)
+    ids = {r.rid: r.doc_id for r in index.where(index.tid == dc.END).collect()}
+    patterns = {}
+    for j, t in items:
+        w = t.split()
+        for i in range(max(1, len(w) - 3)):
+            patterns.setdefault(j, []).append(w[i : i + 4])
+    for slop in (0, 2):
+        found = dc.proximity_matches(index, ranked, n, n_terms, slop).join(named, "pattern").select("rid", "item").distinct().collect()
+        want = set()
+        for i, t in docs:
+            w = t.split()
+            for j, wanted in patterns.items():
+                if any(set(p) <= set(w[s : s + len(p) + slop]) for p in wanted for s in range(len(w))):
+                    want.add((i, str(j)))
+        assert {(ids[r.rid], r.item) for r in found} == want and want
+
+
+def test_contaminated_rows_go_from_any_plan(spark):
+    """Rows from a shuffle whose partitions differ from plan to plan, with a column named as the row number might be."""
+    item = "a b c d e f g h i j"
+    docs = spark.range(4000).selectExpr("id as doc_id", f"if(id % 5 = 0, concat('x ', '{item}', ' y'), concat('clean text ', id)) as text", "id as rid", "cast(id as string) as RID_")
+    grouped = docs.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("text", "rid", "RID_")])
+    kept = dc.without_contaminated(grouped, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "rid", "RID_"]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(4000) if i % 5] and all(r.rid == r.doc_id for r in got)
+    rows = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, f"{item}"), (3, "k"), (3, "k")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "...")], "item_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in dc.without_contaminated(rows, bench).collect()))) == sorted(map(str, [(1, None), (1, None), (2, ""), (3, "k"), (3, "k")]))
+    assert len(dc.without_contaminated(rows, bench.limit(0)).collect()) == 6 and dc.without_contaminated(rows.limit(0), bench).collect() == []
 
 
 def test_sql(spark):
