@@ -33,7 +33,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 FURNITURE = re.compile(r"(?:^|[-_ ])(?:ads?|adv|advert\w*|adsense|adslot|adbox|adunit|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|sign-up|login|paywall|comment\w*|disqus|respond|replies|reply|discussion|reactions|sidebar\w*|side|rail|widget\w*|related\w*|recommend\w*|more-stories|trending|popular|share\w*|sharing|social\w*|follow|nav\w*|menu\w*|breadcrumb\w*|crumbs|pagination|pager|toolbar|masthead|topbar|site-?header|page-?header|header|site-?footer|page-?footer|footer|foot|copyright|legal|disclaimer|skip|search\w*|form|tags|tagcloud|byline-social|rating|poll|print|hidden|outbrain|taboola)(?=$|[-_ ])", re.I)
 LAYOUT = re.compile(r"(?:no|has|with|without|is|js|two|one)[-_]|(?:article|entry|post|story|content)[-_]*(?:header|head|title|text|body|content|main)$", re.I)
 CONTENT = re.compile(r"article|content|post|entry|story|main|body|text|blog|page", re.I)
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
+NUMBER = re.compile(r"(&#)0*([0-9]{1,8})[0-9]*")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 BLOCK_END = object()
 
@@ -61,11 +65,89 @@ def _is_furniture(name: str, attributes: str) -> tuple[bool, str]:
     return bool(hidden or furniture), hint
 
 
+class Scanner:
+    """Finds the end of markup in time proportional to the page, however broken the page is."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # quotes from which, were they opening ones, no tag ends
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the sign that ends a tag whose attributes begin at ``at``: the first outside of quotes or, where
+        quotes leave none, the first at all."""
+        page, passed, now = self.page, [], at
+        while True:
+            now = PLAIN.match(page, now).end()
+            if now == len(page) or now in self.dead:
+                break
+            if page[now] == ">":
+                return now
+            passed.append(now)
+            now = page.find(page[now], now + 1) + 1
+            if not now:
+                break
+        self.dead.update(passed)
+        return page.find(">", at)
+
+    def markup(self, lt: int) -> tuple[int, bool, str, str] | None:
+        """What stands at a ``<``: where it ends, whether it is an end tag, its name (empty: a comment or the like) and its
+        attributes. None if the sign is text."""
+        page = self.page
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                return page.index(">", lt) + 1, False, "", ""
+            m = COMMENT_END.search(page, lt + 4)
+            return (m.end() if m else len(page)), False, "", ""
+        if lt > self.last:
+            return None
+        closing = page.startswith("/", lt + 1)
+        m = NAME.match(page, lt + 1 + closing)
+        if m:
+            end = self._tag_end(m.end())
+            return end + 1, closing, m[0], page[m.end() : end]
+        if closing or page.startswith(("!", "?"), lt + 1):
+            return page.index(">", lt) + 1, False, "", ""
+        return None
+
+
+class Open:
+    """The open elements, with the places of each name among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.scopes, self.cleared = [root], {}, [0], 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in SCOPES:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, name: str) -> int:
+        """Where the innermost open element of that name stands; -1 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all that are inside of it."""
+        for node in self.nodes[at:]:
+            self.places[node.name].pop()
+        del self.nodes[at:]
+        while self.scopes[-1] >= at:
+            self.scopes.pop()
+        self.cleared = min(self.cleared, at)
+
+    def keep_all(self) -> None:
+        """What holds the main element isn't furniture, whatever it is called."""
+        for node in self.nodes[self.cleared :]:
+            node.dropped = node.dropped and node.name in DROPPED
+        self.cleared = len(self.nodes)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed paragraphs and items end where the standard ends them; stray end tags are passed over."""
     root = Node("html", None)
     at, top, end = 0, root, len(page)
-    depth_of: list[Node] = [root]
+    scanner, held = Scanner(page), Open(root)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -73,51 +155,42 @@ def parse(page: str) -> Node:
             break
         if lt > at:
             top.children.append(page[at:lt])
-        m = TOKEN.match(page, lt)
-        if not m:
+        found = scanner.markup(lt)
+        if not found:
             top.children.append("<")  # a bare sign is text
             at = lt + 1
             continue
-        at = m.end()
-        name = m[2] or m[5]
+        at, closing, name, attributes = found
         if not name:
             continue
-        closing, name, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
+        name = name.lower()
         if closing:
             if name == "br":
                 top.children.append(" ")
-            elif name == "p" and not any(n.name == "p" for n in depth_of):
+            elif name == "p" and held.last("p") < 0:
                 top.children.append(Node("p", top))
             else:
-                for k in range(len(depth_of) - 1, 0, -1):
-                    if depth_of[k].name == name:
-                        del depth_of[k:]
-                        break
-                    if name not in BLOCK and depth_of[k].name in SCOPES:
-                        break  # an inline end tag doesn't close containers
-                top = depth_of[-1]
+                k = held.last(name)
+                if k > 0 and (name in BLOCK or k >= held.scopes[-1]):  # an inline end tag doesn't close containers
+                    held.cut(k)
+                top = held.nodes[-1]
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:
-            for k in range(len(depth_of) - 1, 0, -1):
-                if depth_of[k].name == "p":
-                    del depth_of[k:]
-                    break
-                if depth_of[k].name in SCOPES:
-                    break
-            if name in HEADINGS and depth_of[-1].name in HEADINGS:
-                del depth_of[-1]
+            k = held.last("p")
+            if k > held.scopes[-1]:
+                held.cut(k)
+            if name in HEADINGS and held.nodes[-1].name in HEADINGS:
+                held.cut(len(held.nodes) - 1)
         elif name in ITEMS:
             ends, within = ITEMS[name]
-            for k in range(len(depth_of) - 1, 0, -1):
-                if depth_of[k].name in within:
+            floor = max(map(held.last, within))
+            while (k := max(map(held.last, ends))) > max(floor, 0):
+                held.cut(k)
+                if name not in ("tr", "tbody", "thead", "tfoot"):
                     break
-                if depth_of[k].name in ends:
-                    del depth_of[k:]
-                    if name not in ("tr", "tbody", "thead", "tfoot"):
-                        break
-        top = depth_of[-1]
+        top = held.nodes[-1]
         if name == "br":
             top.children.append(" ")
             continue
@@ -125,19 +198,21 @@ def parse(page: str) -> Node:
         node = Node(name, top, furniture or name in DROPPED, hint)
         top.children.append(node)
         if name == "main" and not furniture:
-            for n in depth_of:
-                n.dropped = n.dropped and n.name in DROPPED  # what holds the main element isn't furniture, whatever it is called
+            held.keep_all()
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            close = RAW_END[name].search(page, at)
             at = close.end() if close else end
         elif name not in VOID and not (attributes.endswith("/") and name not in BLOCK):
-            depth_of.append(node)
+            held.push(node)
             top = node
     return root
 
 
 def _clean(parts: list[str]) -> str:
-    return " ".join(html.unescape("".join(parts)).split())
+    text = "".join(parts)
+    if "&#" in text:
+        text = NUMBER.sub(r"\1\2", text)  # a number of more digits is beyond all characters, as its first eight are
+    return " ".join(html.unescape(text).split())
 
 
 def blocks(node: Node, within: frozenset[int] | None = None) -> list[str]:

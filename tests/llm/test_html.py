@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from tessera.llm import html
@@ -53,3 +56,46 @@ def test_main_text(spark):
     got = [tuple(r) for r in html.main_text(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "u", "Some text here", 14), (1, None, "", 0), (None, "v", "", 0)], key=str)
     assert html.main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<" + "x" * 1_000_000, '<a "' * 250_000, '<a ">"' * 170_000, """<a ">"<b '>' """ * 80_000, "<div>" * 80_000 + "</p>" * 80_000, "<div>" * 80_000 + "</ul>" * 80_000, "<b><div>" + "<span>" * 80_000 + "</b>" * 80_000, "<main>" * 80_000, "<!--" * 250_000, "<li>" * 100_000, "<table>" * 50_000 + "<tr>" * 80_000, "&#" + "9" * 100_000 + ";"], ids=lambda p: p[:6])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 15
+
+
+def test_numbers_of_characters():
+    assert html.extract("<p>a&#00000000000065;b&#x41;c</p>") == "aAbAc"
+    assert html.extract("<p>a&#" + "9" * 5000 + ";b</p>") == "a�b"
+
+
+def test_made_pages(spark):
+    """Pages put together of a known article and known furniture, in many shapes; the article alone comes back."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: ", ".join(" ".join(word() for _ in range(rng.randint(4, 9))) for _ in range(n)) + "."
+    pages, want = [], []
+    for _ in range(150):
+        paras = [prose(rng.randint(3, 9)) for _ in range(rng.randint(3, 9))]
+        furniture = [
+            f"<nav class='{word()}'><ul>{''.join(f'<li><a href=#>{word()}</a></li>' for _ in range(8))}</ul></nav>",
+            f"<header><p>{prose(2)}</p></header>",
+            f"<div class='advert'><p>{prose(3)}</p></div>",
+            f"<div id='comments'><p>{prose(4)}</p><p>{prose(2)}</p></div>",
+            f"<form><label>{word()}</label><input name=q></form>",
+            f"<script>var x = '<p>{prose(2)}</p>';</script>",
+            f"<aside><p>{prose(3)}</p></aside>",
+            f"<footer>{prose(1)}</footer>",
+            f"<!-- <p>{prose(2)}</p> -->",
+        ]
+        rng.shuffle(furniture)
+        k = rng.randint(0, len(furniture))
+        close = rng.choice(["</p>", ""])
+        body = "".join(f"<p>{p}{close}" for p in paras)
+        shape = rng.choice(["<article>{}</article>", "<main><div class=text>{}</div></main>", "<div class=wrap><div class='story'>{}</div></div>", "<div><section id=content>{}</section></div>"])
+        pages.append(f"<html><head><title>{word()}</title></head><body>{''.join(furniture[:k])}{shape.format(body)}{''.join(furniture[k:])}</body></html>")
+        want.append("\n".join(paras))
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "cast(null as string) as url", "html")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
