@@ -4,7 +4,13 @@ A fingerprint of 64 bits is cut into blocks of equal width. If two fingerprints
 block of theirs differs in at most ``max_bits // blocks`` bits. In each block the anchors are the words of a covering code:
 a Hamming code of length 2^r - 1 (perfect, covering radius 1) with the last bit left free. A block value goes to every
 anchor within covering radius plus threshold of it, and is at home at the nearest one. Any two values within the threshold
-therefore meet at the home anchor of either, and fingerprints are compared only there.
+therefore meet at the home anchor of either, and fingerprints are compared only there. An anchor with very many members is
+divided into cells of a bounded size.
+
+``one_of_each`` finds texts by the similarity of their sets of shingles. At 0.8 every seventh bit differs, so blocks have to
+be short, and anchors of short blocks gather texts that have nothing in common. An anchor is therefore divided by the
+smallest hashes of a set's shingles, which similar sets share and others don't. What meets there and has near fingerprints
+is compared by the whole sets.
 """
 
 from __future__ import annotations
@@ -17,18 +23,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, connected_components, discard, written
+from tessera.llm.common import bounded_batches, connected_components, discard, free_name, written
 
 BITS = 64
 SEED = 42
-#: Members of one anchor that are compared as one numpy block.
-COMPARE = 256
-#: Keys of a set of shingles and minima in a key: of pairs at 0.8, 1 - (1 - 0.8^6)^40 have a key in common.
-BANDS, BAND_ROWS = 40, 6
-#: Bytes of sets that are compared in one cell of a divided bucket.
+#: Members of one anchor that are compared as one numpy block, and members beyond which an anchor is divided into cells.
+COMPARE, MEMBERS = 256, 4096
+#: Sets of shingles: words of a fingerprint, bits of a block, blocks with anchors of their own, smallest hashes that divide
+#: an anchor. At a similarity of 0.8 a block is within one bit of the other's with probability 0.65, and the three smallest
+#: hashes are the same with 0.51; in one of 12 blocks both hold for all but 8 in 1000 pairs, and most of those that are two
+#: bits apart meet as well, which leaves about 1 in 1000.
+WORDS, BLOCK, TABLES, MINIMA = 2, 8, 12, 3
+#: Bits of 128 that sets of that similarity may differ in: 19 on average with a deviation of 4, where unlike ones have 64.
+MOST_BITS = 44
+#: Bytes of sets that are compared in one cell of a divided anchor.
 CELL_BYTES = 16 << 20
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: the primes of XXH64
 
+_NOT_SPACE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
+
 
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
@@ -84,28 +97,33 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, shingle_words: int = 3, words: int = 1, step: int = 1 << 16) -> tuple[list[int], int]:
-    """SimHash of the whole text in ``words`` unsigned integers of 64 bits, and its shingles' number; zeros if it has no
-    words. Shingles are hashed ``step`` at a time."""
+def _spans(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text with A-Z in lower case, and where its words start and end."""
+    data = text.lower()
+    inside = np.concatenate(([False], _NOT_SPACE[np.frombuffer(data, np.uint8)], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return data, edges[::2], edges[1::2]
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each bit set, the highest first."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle_words: int = 3, step: int = 1 << 16) -> int:
+    """SimHash of the whole text in 64 bits; zero if it has no words. Shingles are hashed ``step`` at a time."""
     found = text.lower().split()
     if not found:
-        return [0] * words, 0
+        return 0
     data = b" ".join(found)
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
     k = min(shingle_words, len(found))
     starts, ends = starts[: len(found) - k + 1], ends[k - 1 :]
-    ones = np.zeros((words, BITS), np.int64)
+    ones = np.zeros(BITS, np.int64)
     for a in range(0, len(starts), step):
-        h = xxh64_slices(data, starts[a : a + step], ends[a : a + step])
-        for w in range(words):
-            ones[w] += np.unpackbits(_mixed(h, w).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * x > len(starts)).tobytes(), "big") for x in ones], len(starts)
-
-
-def fingerprint(text: bytes, shingle_words: int = 3, step: int = 1 << 16) -> int:
-    """SimHash of the whole text in 64 bits."""
-    return wide_fingerprint(text, shingle_words, 1, step)[0][0]
+        ones += _bit_counts(xxh64_slices(data, starts[a : a + step], ends[a : a + step]))
+    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -128,9 +146,8 @@ def _block_columns(blocks: int) -> tuple[int, int]:
     return width, r
 
 
-def anchor_rows(fps: DataFrame, max_bits: int, blocks: int, word: str = "fp", first: int = 0) -> DataFrame:
-    """``fps`` with ``(anchor, home)``: every anchor within covering radius plus threshold of each block of ``word``. Blocks
-    are numbered from ``first``.
+def anchor_rows(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """``fps`` with ``(anchor, home)``: every anchor within covering radius plus threshold of each block of ``fp``.
 
     With a threshold of t bits in a block the anchors lie within 1 + t; t of 0 and 1 are built here. A value of syndrome
     s is turned into the anchors by flipping sets of positions that add up to s: the set {s}, and for t = 1 also the pairs
@@ -142,12 +159,12 @@ def anchor_rows(fps: DataFrame, max_bits: int, blocks: int, word: str = "fp", fi
     n = width - 1  # length of the Hamming code; position p is bit p - 1, the free bit is bit n
     rows = []
     for b in range(blocks):
-        value = F.shiftrightunsigned(word, b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        value = F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         checks = [F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(sum(1 << (p - 1) for p in range(1, n + 1) if p >> j & 1)).cast("long"))).bitwiseAND(F.lit(1)), j) for j in range(r)]
         syndrome = checks[0]
         for c in checks[1:]:
             syndrome = syndrome + c
-        rows.append(F.struct(F.lit(first + b).alias("b"), value.alias("x"), syndrome.alias("s")))
+        rows.append(F.struct(F.lit(b).alias("b"), value.alias("x"), syndrome.alias("s")))
     one = F.lit(1).cast("long")
     flip = lambda s: F.when(s == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(s - 1 as int))"))
     kept = fps.columns
@@ -162,9 +179,9 @@ def anchor_rows(fps: DataFrame, max_bits: int, blocks: int, word: str = "fp", fi
     return spread.select(anchor.alias("anchor"), F.col("a.home").alias("home"), *kept)
 
 
-def _forest(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between the members of one anchor, one of each pair being at home there."""
-    n = len(ids)
+    n, words = len(fps), fps.view(np.uint64)
     label = np.arange(n)
     heads, tails = [], []
     hs = np.flatnonzero(home)
@@ -172,10 +189,7 @@ def _forest(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, max_bits
         left = hs[a : a + COMPARE]
         for c in range(0, n, COMPARE):
             z = min(n, c + COMPARE)
-            d = np.zeros((len(left), z - c), np.uint16)
-            for w in words:
-                d += np.bitwise_count(w[left][:, None] ^ w[None, c:z])
-            near = d <= max_bits
+            near = np.bitwise_count(words[left][:, None] ^ words[None, c:z]) <= max_bits
             for x in np.flatnonzero((near & (label[left][:, None] != label[None, c:z])).any(1)).tolist():
                 i = left[x]
                 ys = np.flatnonzero(near[x])
@@ -185,34 +199,42 @@ def _forest(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, max_bits
                         heads.append(i)
                         tails.append(c + y)
                         label[label == r] = label[i]
-    return ids[np.array(heads, np.int64)], ids[np.array(tails, np.int64)]
+    return fps[np.array(heads, np.int64)], fps[np.array(tails, np.int64)]
 
 
-def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_col: str = "fp", words: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """Edges ``(u, v)`` between ids that join distinct fingerprints as the links of at most ``max_bits`` bits do: exactly
-    so where ``max_bits`` is below twice the blocks, and else as far as two fingerprints have a block within one bit.
+def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2) -> DataFrame:
+    """Edges ``(u, v)`` that join distinct fingerprints ``fp`` as the links of at most ``max_bits`` bits do: exactly so where
+    ``max_bits`` is below twice the blocks, and else as far as two fingerprints have a block within one bit.
 
     Rows are dealt by anchor and sorted inside each partition, so that a task streams over the anchors it got; of an
-    anchor's links it returns a spanning forest, fewer edges than members, never all pairs. An anchor can gather only
-    distinct fingerprints, so copies do not load it.
+    anchor's links it returns a spanning forest, fewer edges than members, never all pairs. Copies share a fingerprint and
+    don't load an anchor. Where an anchor has more than ``MEMBERS`` members, those at home and all members are dealt into
+    blocks by a hash, and each pair of blocks is a cell that goes to a task of its own.
     """
-    names = list(dict.fromkeys([id_col, *words]))
-    rows = None
-    for k, w in enumerate(words):
-        part = anchor_rows(fps.select(*names), max_bits, blocks, w, k * blocks)
-        rows = part if rows is None else rows.union(part)
-    dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    rows = anchor_rows(fps.select("fp"), max_bits, blocks)
+    hot = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("anchor", F.ceil(F.col("n") / MEMBERS).cast("int").alias("deal")), "simhash-hot")
+    whole = F.lit(0).alias("i"), F.lit(0).alias("j")
+    dealt = rows.select("anchor", "home", "fp", *whole)
+    if hot.count():
+        at = rows.join(hot, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("deal")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("deal") - 1))
+        homes = at.where("home").select("anchor", "home", "fp", F.col("own").alias("i"), every.alias("j"))
+        members = at.select("anchor", F.lit(False).alias("home"), "fp", "own", every.alias("i")).select("anchor", "home", "fp", "i", F.col("own").alias("j"))
+        dealt = rows.join(hot, "anchor", "left_anti").select("anchor", "home", "fp", *whole).union(homes).union(members)
+    dealt = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(anchor, home, *columns):
-            by = dict(zip(names, columns, strict=True))
-            ids, parts = by[id_col], [by[w].view(np.uint64) for w in words]
-            cut = np.flatnonzero(np.diff(anchor)) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
+        def changes(anchor, home, fp, i, j):
+            return np.flatnonzero((np.diff(anchor) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+
+        def links(*columns):
+            _, home, fp, _, _ = columns
+            cut = changes(*columns)
+            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))
             us, vs = [], []
             with_home = np.add.reduceat(home.astype(np.int64), starts)
             for a, z in zip(starts[k := (ends - starts > 1) & (with_home > 0)].tolist(), ends[k].tolist(), strict=True):
-                u, v = _forest(ids[a:z], [p[a:z] for p in parts], home[a:z], max_bits)
+                u, v = _forest(fp[a:z], home[a:z], max_bits)
                 us.append(u)
                 vs.append(v)
             if us and sum(map(len, us)):
@@ -224,10 +246,10 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, blocks: int = 2, id_c
                 continue
             part = tuple(c.to_numpy(zero_copy_only=False).astype(bool if k == 1 else np.int64) for k, c in enumerate(b.columns))
             held.append(part)
-            if part[0][0] == part[0][-1]:
-                continue  # one anchor fills the batch: its end is still to come
+            if not len(changes(*part)):
+                continue  # one cell fills the batch: its end is still to come
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1
+            cut = int(changes(*whole)[-1])
             yield from links(*(x[:cut] for x in whole))
             held = [tuple(x[cut:] for x in whole)]
         if held:
@@ -246,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = linked_fingerprints(classes.select("fp"), max_bits, blocks)
+    edges = linked_fingerprints(classes, max_bits, blocks)
     parts = connected_components(edges)
     named = classes.join(parts, classes.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     smallest = named.groupBy("part").agg(F.min("least").alias("component_id"))
@@ -254,35 +276,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, shingle_words: int = 5, step: int = 1 << 16) -> np.ndarray:
-    """The distinct 64-bit hashes of the text's shingles, ascending; the whole text is one if it has fewer words."""
-    found = text.lower().split()
-    if not found:
+def shingle_set(text: bytes, shingle_words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's shingles, ascending; the whole text is one if it has fewer words. A shingle's
+    hash is mixed from those of its words and their number."""
+    data, starts, ends = _spans(text)
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    data = b" ".join(found)
-    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
-    k = min(shingle_words, len(found))
-    starts, ends = starts[: len(found) - k + 1], ends[k - 1 :]
-    return np.unique(np.concatenate([xxh64_slices(data, starts[a : a + step], ends[a : a + step]) for a in range(0, len(starts), step)]))
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set; key b is made of the minima of ``BAND_ROWS`` hashes of its members, and of b."""
+    words = xxh64_slices(data, starts, ends)
+    k = min(shingle_words, len(words))
+    with np.errstate(over="ignore"):
+        h = np.full(len(words) - k + 1, np.uint64(k))
+        for i in range(k):
+            h = _rot(h * _P1, 29) ^ words[i : len(h) + i]
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def anchor_table(width: int = BLOCK) -> np.ndarray:
+    """For each value of a block the anchors within covering radius plus one bit of it, as ``anchor_rows`` has them; -1 where
+    there are fewer."""
+    n = width - 1
+    x = np.arange(1 << width)
+    s = np.zeros_like(x)
+    for p in range(1, n + 1):
+        s ^= np.where(x >> (p - 1) & 1, p, 0)
+    near = np.where(s > 0, x ^ (1 << np.maximum(s - 1, 0)), x)
+    found = [near, near ^ (1 << n)]
+    for a in range(1, n + 1):
+        b = a ^ s
+        found.append(np.where((s > 0) & (a < b), x ^ (1 << (a - 1)) ^ (1 << np.maximum(b - 1, 0)), -1))
+    table = np.sort(np.array(found).T, axis=1)[:, ::-1]
+    return table[:, : int((table >= 0).sum(1).max())]
+
+
+def set_marks(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The fingerprints of sets of shingles, a row of ``WORDS`` unsigned integers each, and the keys each set is dealt by: for
+    each of ``TABLES`` blocks its anchors, divided by the ``MINIMA`` smallest hashes that are the block's own."""
     rng = np.random.default_rng(SEED)
-    times, plus = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+    times, plus = rng.integers(0, 1 << 64, (2, TABLES * MINIMA, 1), np.uint64)
     times |= np.uint64(1)
-    least = np.full((len(sets), BANDS * BAND_ROWS), np.iinfo(np.uint64).max, np.uint64)
+    fps = np.zeros((len(sets), WORDS), np.uint64)
+    least = np.full((len(sets), TABLES * MINIMA), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i, x in enumerate(sets):
+            ones = np.zeros((WORDS, BITS), np.int64)
             for a in range(0, len(x), 1024):
-                np.minimum(least[i], (x[None, a : a + 1024] * times + plus).min(1), out=least[i])
-        least = least.reshape(-1, BANDS, BAND_ROWS)
-        keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _P5, (len(sets), 1))
-        for k in range(BAND_ROWS):
-            keys = (_rot(keys, 27) ^ (least[:, :, k] * _P2)) * _P1
-            keys ^= keys >> np.uint64(29)
-    return keys
+                some = x[a : a + 1024]
+                np.minimum(least[i], (some[None] * times + plus).min(1), out=least[i])
+                for w in range(WORDS):
+                    ones[w] += _bit_counts(_mixed(some, w))
+            fps[i] = np.packbits(2 * ones > len(x), axis=1).view(">u8").ravel()
+        least = least.reshape(-1, TABLES, MINIMA)
+        base = np.tile(np.arange(1, TABLES + 1, dtype=np.uint64) * _P5, (len(sets), 1))
+        for k in range(MINIMA):
+            base = (_rot(base, 27) ^ (least[:, :, k] * _P2)) * _P1
+            base ^= base >> np.uint64(29)
+        per = BITS // BLOCK
+        value = np.stack([fps[:, b // per] >> np.uint64(BLOCK * (b % per)) & np.uint64((1 << BLOCK) - 1) for b in range(TABLES)], 1)
+        anchors = anchor_table()[value.astype(np.int64)]
+        keys = (base[:, :, None] ^ (anchors.astype(np.uint64) + np.uint64(1)) * _P4) * _P3
+        keys ^= keys >> np.uint64(32)
+    return fps, [k[a >= 0] for k, a in zip(keys, anchors, strict=True)]
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -293,12 +349,13 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def _similar_forest(ids: list[int], parts: list[int], sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def _similar_forest(ids: list[int], parts: list[int], sides: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges that join those of ``parts`` that similar sets link. If there are two ``sides``, only sets of different sides are
-    compared. All sets of other parts are compared to one set at a time; those of the largest part come last."""
+    compared. All sets of other parts whose fingerprints are near are compared to one set at a time; those of the largest
+    part come last."""
     label = np.unique(np.array(parts), return_inverse=True)[1]
     order = np.lexsort((label, np.bincount(label)[label]))
-    label, sides = label[order], sides[order]
+    label, sides, fps = label[order], sides[order], fps[order]
     n = np.array([len(sets[i]) for i in order])
     member = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
     begin = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -308,6 +365,7 @@ def _similar_forest(ids: list[int], parts: list[int], sides: np.ndarray, sets: l
     out = []
     for i in range(len(order) - 1):
         ok = (place > i) & (label != label[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9)
+        ok &= np.bitwise_count(fps ^ fps[i]).sum(1) <= MOST_BITS
         js = np.flatnonzero(ok & (sides != sides[i]) if mixed else ok)
         if not len(js):
             continue
@@ -324,48 +382,54 @@ def _similar_forest(ids: list[int], parts: list[int], sides: np.ndarray, sets: l
     return out
 
 
+def _near(x: bytes, y: bytes) -> bool:
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= MOST_BITS
+
+
 def similar_sets(classes: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Edges ``(u, v)`` whose components are those of all pairs of ``classes(vid, bands)`` that share a band and have the
-    Jaccard similarity; ``texts(vid, t)`` has their texts. Every edge is a pair whose whole sets were compared.
+    """Edges ``(u, v)`` whose components are those of all pairs of ``classes(vid, fps, keys)`` that meet at an anchor, have
+    near fingerprints and the Jaccard similarity; ``texts(vid, t)`` has their texts. Every edge is a pair whose whole sets
+    were compared.
 
-    First each member of a bucket is compared to the bucket's smallest, a number of pairs that grows with the members only.
-    Buckets whose members are not all in one component by then are gone through pair by pair, in cells of a bounded size.
+    First each member of an anchor is compared to the anchor's smallest, a number of pairs that grows with the members only.
+    Anchors whose members are not all in one component by then are gone through pair by pair, in cells of a bounded size.
     """
-    spread = classes.select("vid", F.explode("bands").alias("key"))
+    spread = classes.select("vid", F.explode("keys").alias("key"))
     buckets = written(spread.groupBy("key").agg(F.min("vid").alias("lead"), F.count("*").alias("m")).where("m > 1"), "simhash-buckets")
     members = written(spread.join(buckets, "key").select("key", "vid", "lead", "m"), "simhash-members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t or b"", shingle_words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["vid", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t or b"", shingle_words).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["vid", "fps", "s"])
 
-    asked = members.select("vid").distinct()
-    sets = written(texts.join(asked, "vid", "left_semi").select("vid", "t").mapInArrow(sets_of, "vid long, s binary"), "simhash-sets")
+    asked = classes.join(members.select("vid").distinct(), "vid", "left_semi").select("vid", "fps")
+    sets = written(texts.join(asked, "vid").select("vid", "fps", "t").mapInArrow(sets_of, "vid long, fps binary, s binary"), "simhash-sets")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [_near(f, g) and similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for f, g, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    side = lambda name: sets.select(F.col("vid").alias(name), F.col("fps").alias(f"f{name}"), F.col("s").alias(f"s{name}"))
     pairs = members.where("vid <> lead").select(F.col("lead").alias("u"), F.col("vid").alias("v")).distinct()
-    pairs = pairs.join(sets.select(F.col("vid").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("vid").alias("u"), F.col("s").alias("su")), "u")
-    stars = written(pairs.select("u", "v", "su", "sv").mapInArrow(checked, "u long, v long"), "simhash-stars")
+    pairs = pairs.join(side("v"), "v").join(side("u"), "u")
+    stars = written(pairs.select("u", "v", "fu", "fv", "su", "sv").mapInArrow(checked, "u long, v long"), "simhash-stars")
     parts = written(connected_components(stars), "simhash-parts")
     labelled = members.where("m > 2").join(parts, members.vid == parts.id, "left").select("key", "vid", F.coalesce("component", "vid").alias("part"))
     labelled = written(labelled, "simhash-labelled")
     sized = labelled.join(sets.select("vid", F.octet_length("s").alias("b")), "vid")
     left = sized.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.sum("b").alias("load")).where("p0 <> p1")
     left = written(left.select("key", F.ceil(F.col("load") / CELL_BYTES).cast("int").alias("deal")), "simhash-open")
-    side = F.pmod(F.xxhash64("vid"), F.greatest("deal", F.lit(1))).cast("int")
-    placed = labelled.join(left, "key").withColumn("side", side)
+    own = F.pmod(F.xxhash64("vid"), F.greatest("deal", F.lit(1))).cast("int")
+    placed = labelled.join(left, "key").withColumn("side", own)
     cells = F.transform(F.sequence(F.lit(0), F.greatest("deal", F.lit(1)) - 1), lambda x: F.struct(F.least(x, "side").alias("i"), F.greatest(x, "side").alias("j")))
     placed = placed.select("key", "vid", "part", "side", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "vid", "part", "side")
-    dealt = placed.join(sets, "vid").select("key", "i", "j", "vid", "part", "side", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = placed.join(sets, "vid").select("key", "i", "j", "vid", "part", "side", "fps", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
-            ids, labels, sides, data = zip(*rows, strict=True)
-            return _similar_forest(list(ids), list(labels), np.array(sides), [np.frombuffer(x, np.uint64) for x in data], similarity)
+            ids, labels, sides, fps, data = zip(*rows, strict=True)
+            return _similar_forest(list(ids), list(labels), np.array(sides), np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS), [np.frombuffer(x, np.uint64) for x in data], similarity)
 
         now, held = None, []
         for b in batches:
@@ -389,29 +453,33 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns as they are, but of each group of near-duplicates only the row with the smallest id.
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Candidates are
-    those that share one of ``BANDS`` keys, which at 0.8 all but 5 in a million pairs do; a candidate becomes a link only
-    if the whole sets have the similarity. Groups are what links reach. A null id comes after all others; among rows that
-    repeat the id, one is kept. Null and empty texts are near-duplicates of each other.
+    those that meet at one of the anchors of their sets' SimHash fingerprints; a candidate becomes a link only if the whole
+    sets have the similarity. Groups are what links reach. A null id comes after all others; among rows that repeat the id,
+    one is kept. Null and empty texts are near-duplicates of each other. An empty table gives an empty result. Rows are told
+    apart by numbers that a written copy of ``docs`` gives them, whatever plan they come from; columns keep their names.
     """
     bounded_batches(docs.sparkSession)
-    rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "simhash-docs")  # a table, so that rows keep their numbers
+    rid = free_name(docs.columns, "rid")
+    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash-docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t or b"", shingle_words) for t in b.column(2).to_pylist()]
             marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets]).reshape(-1, 2)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sets).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(2)), bands], ["rid", "id", "d0", "d1", "bands"])
+            fps, keys = set_marks(sets)
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            dealt = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(2)), pa.array([f.tobytes() for f in fps], pa.binary()), dealt], ["rid", "id", "d0", "d1", "fps", "keys"])
 
-    bare = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    marked = written(bare.mapInArrow(run, "rid long, id long, d0 long, d1 long, bands array<long>"), "simhash-rows")
+    bare = rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    marked = written(bare.mapInArrow(run, "rid long, id long, d0 long, d1 long, fps binary, keys array<long>"), "simhash-rows")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
-    classes = written(marked.groupBy("d0", "d1", "bands").agg(first.alias("one")).select(F.col("one.rid").alias("vid"), "one", "bands"), "simhash-firsts")
+    classes = written(marked.groupBy("d0", "d1", "fps", "keys").agg(first.alias("one")).select(F.col("one.rid").alias("vid"), "one", "fps", "keys"), "simhash-firsts")
     parts = connected_components(similar_sets(classes, bare.select(F.col("rid").alias("vid"), "t"), shingle_words, similarity))
     named = classes.join(parts, classes.vid == parts.id, "left").select("one", F.coalesce("component", "vid").alias("part"))
-    keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias("__rid")), "simhash-kept")
+    keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias(rid)), "simhash-kept")
     discard(marked, classes)
-    return rows.join(keep, "__rid", "left_semi").drop("__rid")
+    return rows.join(keep, rid, "left_semi").drop(rid)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

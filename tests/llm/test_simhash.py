@@ -38,8 +38,8 @@ def test_fingerprints_equal_brute_force():
     assert simhash.fingerprint(long.encode(), step=100) == brute(long)
 
 
-@pytest.mark.parametrize(("max_bits", "blocks"), [(2, 2), (3, 2), (1, 2), (7, 4)])
-def test_links_equal_brute_force(spark, max_bits, blocks):
+@pytest.mark.parametrize(("max_bits", "blocks", "members"), [(2, 2, 4096), (3, 2, 4096), (1, 2, 4096), (7, 4, 4096), (2, 2, 3), (7, 4, 5)])
+def test_links_equal_brute_force(spark, monkeypatch, max_bits, blocks, members):
     rng = random.Random(max_bits)
     fps = {0, (1 << 64) - 1, 1, 3, 7, 1 << 63, 15, 31}
     for _ in range(60):
@@ -51,6 +51,7 @@ def test_links_equal_brute_force(spark, max_bits, blocks):
             fps.add(x)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in fps], "fp long").repartition(5)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     edges = [(r.u, r.v) for r in simhash.linked_fingerprints(df, max_bits, blocks).collect()]
     up, find = components(fps)
     got_up, got_find = components(fps)
@@ -111,6 +112,47 @@ def test_one_of_each_equals_brute_force(spark, monkeypatch, small):
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {find(x) for x in up}
 
 
+def test_anchors_of_both_kinds_are_the_same(spark):
+    """The anchors of short blocks in numpy are those that the DataFrame functions find, block by block."""
+    values = [(k << 56 | k << 8 | 255 - k) for k in range(256)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = simhash.anchor_rows(spark.createDataFrame([(signed(v),) for v in values], "fp long"), 8, 8).collect()
+    table = simhash.anchor_table(8)
+    got = {}
+    for r in rows:
+        got.setdefault((r.fp % (1 << 64), r.anchor >> 8), set()).add(r.anchor & 255)
+    for v in values:
+        for b in range(8):
+            assert got[(v, b)] == {x for x in table[v >> 8 * b & 255].tolist() if x >= 0}
+
+
+def test_recall_at_the_threshold():
+    """Sets at a similarity of 0.8 exactly: nearly all meet at an anchor with near fingerprints."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    met = 0
+    for n in [20, 50, 200, 1000] * 150:
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        both, one = n * 4 // 5, n // 10
+        f, k = simhash.set_marks([np.unique(x[: both + one]), np.unique(np.concatenate((x[:both], x[both + one :])))])
+        met += bool(set(k[0].tolist()) & set(k[1].tolist())) and int(np.bitwise_count(f[0] ^ f[1]).sum()) <= simhash.MOST_BITS
+    assert met >= 0.99 * 600
+
+
+def test_one_stays_from_any_plan(spark):
+    """Rows from a shuffle whose partitions differ from plan to plan, with a column named as the row number might be."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> concat('w', id div 3, 'x', k))) as text", "id as rid", "cast(id as string) as RID_")
+    grouped = docs.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("text", "rid", "RID_")])
+    kept = simhash.one_of_each(grouped)
+    assert kept.columns == ["doc_id", "text", "rid", "RID_"]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 3000, 3)) and all(r.rid == r.doc_id for r in got)
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_repeated_text_is_linked(spark):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(1, base), (2, f"{base} {base}"), (3, " ".join(f"v{i}" for i in range(40)))]
