@@ -2,8 +2,9 @@
 
 Documents with equal texts form a group that is never divided. A partial partition is a tuple of ``shards`` sums; the
 differencing step takes the two tuples of the largest spread (largest minus smallest sum) and adds the largest sum of one
-to the smallest of the other, and so on. Each task first reduces the groups it holds to one tuple; the driver then
-combines one tuple for each task in the same way. The driver therefore sees ``shards`` numbers a task, never the groups.
+to the smallest of the other, and so on. A task takes the groups it gets in blocks of ``BLOCK_GROUPS``, reduces each block to
+one tuple, and then the tuples of its blocks to one; the driver combines one tuple for each task in the same way. A task
+therefore holds one block and one tuple a block, and the driver sees ``shards`` numbers a task, never the groups.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, written
+from tessera.llm.common import bounded_batches, discard, written
 
 SHARDS = 16
+#: Groups that are differenced at once, and groups planned for a task.
+BLOCK_GROUPS, TASK_GROUPS = 20_000, 500_000
 
 
 def difference(tuples: list[list[int]], shards: int) -> tuple[list[int], list[list[int]]]:
@@ -80,31 +83,49 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
     groups = rows.groupBy("key").agg(F.sum("size").alias("total"))
 
+    written_groups = written(groups, "shards-totals")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-written_groups.count() // TASK_GROUPS))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, totals = [], []
+        names = ["key", "part", "block", "entry", "task_entry", "task_sum"]
+        part, block, sums = TaskContext.get().partitionId(), 0, []
+        keys: list[bytes] = []
+        totals: list[int] = []
+
+        def reduced() -> pa.RecordBatch:
+            order = sorted(range(len(keys)), key=lambda i: (-totals[i], keys[i]))
+            found, placed = difference([[totals[i]] + [0] * (shards - 1) for i in order], shards)
+            sums.append(found)
+            n = len(order)
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in order], pa.binary()), pa.array([part] * n, pa.int32()), pa.array([block] * n, pa.int32()), pa.array([p[0] for p in placed], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+
         for b in batches:
-            keys.extend(b.column(0).to_pylist())
-            totals.extend(b.column(1).to_pylist())
-        if not keys:
-            return
-        order = sorted(range(len(keys)), key=lambda i: (-totals[i], keys[i]))  # the shuffle's order may change when a task runs again
-        sums, placed = difference([[totals[i]] + [0] * (shards - 1) for i in order], shards)
-        part = TaskContext.get().partitionId()
-        slots = [p[0] for p in placed]
-        for a in range(0, len(order), 50_000):
-            some = range(a, min(a + 50_000, len(order)))
-            own = slots[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[order[i]] for i in some], pa.binary()), pa.array([part] * len(some), pa.int32()), pa.array(own, pa.int32()), pa.array([sums[s] for s in own], pa.int64())], ["key", "part", "entry", "entry_sum"])
-
-    placed = written(groups.mapInArrow(local, "key binary, part int, entry int, entry_sum long"), "shards-groups")
+            for a in range(0, b.num_rows, BLOCK_GROUPS):
+                some = b.slice(a, BLOCK_GROUPS)
+                keys += some.column(0).to_pylist()
+                totals += some.column(1).to_pylist()
+                if len(keys) >= BLOCK_GROUPS:
+                    yield reduced()
+                    keys, totals, block = [], [], block + 1
+        if keys:
+            yield reduced()
+        if sums:  # what each block's entries become in the task's tuple, and that tuple's sums
+            found, where = difference(sums, shards)
+            own, entry, to = zip(*[(k, e, w[e]) for k, w in enumerate(where) for e in range(shards)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.binary()), pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(entry, pa.int32()), pa.array(to, pa.int32()), pa.array([found[t] for t in to], pa.int64())], names)
+
+    placed = written(written_groups.repartition(tasks).mapInArrow(local, "key binary, part int, block int, entry int, task_entry int, task_sum long"), "shards-groups")
+    discard(written_groups)
+    blocks = placed.where("key is null").select("part", "block", "entry", "task_entry", "task_sum")
     partial: dict[int, list[int]] = {}
-    for r in placed.groupBy("part", "entry").agg(F.first("entry_sum").alias("s")).collect():  # shards rows a task
-        partial.setdefault(r.part, [0] * shards)[r.entry] = r.s
+    for r in blocks.groupBy("part", "task_entry").agg(F.first("task_sum").alias("s")).collect():  # shards rows a task
+        partial.setdefault(r.part, [0] * shards)[r.task_entry] = r.s
     ids = sorted(partial)
     _, where = difference([partial[p] for p in ids], shards)
     final = [(p, e, where[k][e]) for k, p in enumerate(ids) for e in range(shards)]
-    table = spark.createDataFrame(final, "part int, entry int, shard int")
-    owner = placed.join(F.broadcast(table), ["part", "entry"]).select("key", "shard")  # shards rows a task: a few MB for any cluster
+    table = spark.createDataFrame(final, "part int, task_entry int, shard int")
+    shard_of = blocks.join(F.broadcast(table), ["part", "task_entry"]).select("part", "block", "entry", "shard")  # shards rows a task: a few MB for any cluster
+    owner = placed.where("key is not null").join(shard_of, ["part", "block", "entry"]).select("key", "shard")
     located = rows.join(owner, "key").select("doc_id", "size", "text_crc32", "shard")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

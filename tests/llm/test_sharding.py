@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tessera.llm import sharding
 
 
@@ -24,7 +26,28 @@ def test_textbook_two_way():
     assert sums == [16, 14]
 
 
-def test_balanced_shards(spark):
+def spread(items, n):
+    """The differencing rule itself, with all tuples in one list that is sorted anew at every step."""
+    live = [sorted([x] + [0] * (n - 1), reverse=True) for x in items]
+    while len(live) > 1:
+        live.sort(key=lambda t: t[-1] - t[0])
+        a, b = live.pop(0), live.pop(0)
+        live.append(sorted((p + q for p, q in zip(a, reversed(b), strict=True)), reverse=True))
+    return live[0][0] - live[0][-1]
+
+
+def test_spread_equals_the_rule():
+    rng = random.Random(4)
+    for n in (2, 3, 5):
+        for _ in range(20):
+            items = rng.sample(range(1, 100_000), 12)
+            sums, _ = sharding.difference([[x] + [0] * (n - 1) for x in items], n)
+            assert sums[0] - sums[-1] == spread(items, n)
+
+
+@pytest.mark.parametrize("groups", [20_000, 100])
+def test_balanced_shards(spark, monkeypatch, groups):
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", groups)
     rng = random.Random(2)
     texts = ["é" * rng.randint(0, 300) + str(i) for i in range(900)] + ["same text"] * 40 + [None, None, ""]
     rows = [(i, t, "z") for i, t in enumerate(texts)] + [(3, texts[3], "z"), (None, "no id", "z")]
