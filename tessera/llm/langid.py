@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches
 
-#: Bounds of the fit: bytes of a dictionary, rows sampled for a language (BUCKETS x PER_BUCKET), characters taken of each.
+#: Bounds of the fit: languages that are learned, the most frequent ones; bytes of a dictionary; rows sampled for a language
+#: (BUCKETS x PER_BUCKET), each giving an equal share of the dictionary in SLICES taken from all over its text.
+MAX_LANGUAGES = 256
 DICTIONARY_BYTES = 1 << 16
-BUCKETS, PER_BUCKET = 32, 2
-ROW_CHARS = 4000
+BUCKETS, PER_BUCKET = 32, 4
+SLICES = 4
 #: Bytes encoded at once, and the relative margin below which a prediction is marked as rejected.
 BLOCK = 512
 MARGIN = 0.01
@@ -32,6 +34,21 @@ def _prepared(text: str) -> bytes:
     return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
+def share(text: str) -> bytes:
+    """What a sampled text gives to its language's dictionary: all of it or, where it is longer than a row's share, slices
+    that begin with a word and lie at equal distances from its beginning to its end."""
+    data = _prepared(text)
+    most = DICTIONARY_BYTES // (BUCKETS * PER_BUCKET)
+    if len(data) <= most:
+        return data
+    size, out = most // SLICES, []
+    for k in range(SLICES):
+        at = (len(data) - size) * k // (SLICES - 1)
+        at = max(data.rfind(b" ", 0, at + 1), 0)
+        out.append(data[at : at + size].decode("utf-8", "ignore").encode())
+    return b"".join(out)
+
+
 class LanguageModel:
     """Dictionaries by language, the most frequent language first; ties go to the earlier one."""
 
@@ -74,18 +91,27 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Dictionaries from a bounded sample of the rows with a text and a language.
 
     For each language the sample holds the texts with the smallest hashes in each of ``BUCKETS`` ranges, copies counted
-    once, so that neither a large source nor a large group of copies fills it.
+    once, so that neither a large source nor a large group of copies fills it. Each gives its ``share``. Of more than
+    ``MAX_LANGUAGES`` languages the most frequent are learned, ties by name. An empty table, or one without a text that
+    has a language, gives a model that knows none.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row a language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return LanguageModel({})
+    learned = F.broadcast(docs.sparkSession.createDataFrame([(r.lang,) for r in counts], "lang string"))
     first = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_BUCKET).select("lang", "h")
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first(F.substring("text", 1, ROW_CHARS)).alias("text")).collect()  # BUCKETS x PER_BUCKET rows a language
+    chosen = rows.join(learned, "lang").select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_BUCKET).select("lang", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([share(t) for t in b.column(2).to_pylist()], pa.binary())], ["lang", "h", "share"])
+
+    shares = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").mapInArrow(run, "lang string, h long, share binary")
     found = {r.lang: bytearray() for r in counts}
-    for r in sorted(texts, key=lambda r: (r.lang, r.h)):
-        found[r.lang] += _prepared(r.text)
+    for r in sorted(shares.groupBy("lang", "h").agg(F.min("share").alias("share")).collect(), key=lambda r: (r.lang, r.h)):  # a dictionary a language
+        found[r.lang] += r.share
     return LanguageModel({k: bytes(v[:DICTIONARY_BYTES]) for k, v in found.items() if v.strip()})
 
 
@@ -97,8 +123,8 @@ def held_out(id_col: str = "doc_id"):
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, rejected)`` of every row, from its text alone.
 
-    A null text, and one without a letter, gives ``und`` with score 0. Null and repeated ids keep their rows; other columns
-    are ignored; whole texts are encoded.
+    A null text, and one without a letter, gives ``und`` with score 0, as does any text if no language is known. Null and
+    repeated ids keep their rows; an empty table gives an empty result; other columns are ignored; whole texts are encoded.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_BYTES a language
