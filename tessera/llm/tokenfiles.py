@@ -29,6 +29,8 @@ END_ID = 2
 NULL_ID = -(1 << 63)
 #: Documents whose rows a reading task returns at once.
 ROWS = 20_000
+#: Bytes of text, and documents, planned for a part.
+PART_BYTES, PART_DOCS = 64 << 20, 1_000_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -88,7 +90,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(flat) - 1], pa.int64()), pa.array([int(flat[-1])], pa.int64())], ["part", "docs", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.count("*").alias("n")).first()
+    parts = max(1, spark.sparkContext.defaultParallelism, -(-(size.b or 0) // PART_BYTES), -(-size.n // PART_DOCS))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     found = sorted((r.part, r.docs, r.ids) for r in ordered.mapInArrow(run, "part int, docs long, ids long").collect())  # a row a task
     bases = np.concatenate(([0], np.cumsum([n for _, _, n in found]))).tolist()
