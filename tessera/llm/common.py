@@ -22,10 +22,14 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where that is unset a local master gets a temporary folder; on a
+    cluster, whose executors couldn't see one, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -103,9 +107,10 @@ def _without_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Component of every vertex in ``edges(u, v)`` as ``(id, component)``, component being its smallest vertex.
 
-    Edges are first thinned to a spanning forest in parts of a bounded size. Then it alternates the large-star and small-star steps, which halve the depth of every tree, until no edge changes. Each
-    round is written to the scratch folder. Degrees are reduced by partial aggregates, and the joins are plain equi-joins
-    that adaptive execution splits where one vertex has very many edges. Self-loops are ignored.
+    Edges are first thinned to a spanning forest in parts of a bounded size. Then it alternates the large-star and small-star
+    steps, which halve the depth of every tree, until no edge changes. Each round is written to the scratch folder. Degrees
+    are reduced by partial aggregates, and the joins are plain equi-joins that adaptive execution splits where one vertex has
+    very many edges. Self-loops and repeated edges change nothing; without edges there are no rows.
     """
     both = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     parts = -(-both.count() // FOREST_EDGES)

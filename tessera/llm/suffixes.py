@@ -11,8 +11,10 @@ suffix arrays over shards. What goes into the shards:
 3. Pieces that share an anchor but differ come together in a shard with their bytes. The shard's suffix array is built by
    Larsson-Sadakane refinement in numpy, common prefixes by Kasai's walk, and strings whose common prefix with a neighbour
    reaches ``length`` repeat. An anchor with more bytes than ``HOT_BYTES`` is dealt over several shards; each then hands on
-   the sorted digests of its distinct strings, in ranges cut by binary search, and the runs of a range are merged by binary
-   search. So a passage in a third of all documents is spread over as many tasks as it needs.
+   its distinct strings as a sorted run for each of a number of ranges, and two runs at a time are merged by binary search
+   until a range has one. Runs hold 128-bit digests of the strings: a piece has some 85 strings of 200 bytes each, which as
+   they are would take twelve times the room. So a passage in a third of all documents is spread over as many tasks as it
+   needs.
 
 Repeated strings are united to byte ranges for each document, and the ranges are cut out.
 """
@@ -38,7 +40,8 @@ MOST = (1 << 21) - 1
 #: Ranges of digests that the strings of a divided anchor are merged in, for each of its shards.
 LANES = 4
 _BASE = 0x9E3779B97F4A7C15  # any odd number will do
-_WIDTH_BITS = 8
+_WIDTH_BITS = 16
+_ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +199,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spot(start: int, width: int) -> int:
-    """Start (31 bits) and width (8 bits)."""
+    """Start (31 bits) and width (16 bits)."""
     return (start << _WIDTH_BITS) | width
 
 
@@ -240,7 +243,7 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     def run(table: pa.Table) -> pa.Table:
         ks, spots, anchors, deals, parts = (list(x) for x in zip(*sorted(zip(*(table[c].to_pylist() for c in ("k", "spot", "anchor", "deal", "bytes")), strict=True)), strict=True))
         out_k, out_spot = [], []
-        lanes: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
+        lanes: dict[tuple[int, int, int], list[tuple[bytes, int, int]]] = {}
         a = 0
         while a < len(parts):  # a shard is planned to hold far less than MOST; what is above is done in parts, which the merge unites
             z, total = a, 0
@@ -257,7 +260,7 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                     many = LANES * max(4, deals[i])
                     for s in np.flatnonzero(first[i - a]).tolist():
                         d = xxhash.xxh3_128_digest(parts[i][s : s + length])
-                        lanes.setdefault((anchors[i], int.from_bytes(d[:8], "big") * many >> 64), []).append((d, ks[i], _spot(start + s, 1)))
+                        lanes.setdefault((anchors[i], int.from_bytes(d[:8], "big") * many >> 64, a), []).append((d, ks[i], _spot(start + s, 1)))
             a = z
         n = len(out_k)
         ranges = [(key, sorted(found)) for key, found in sorted(lanes.items())]
@@ -275,33 +278,37 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return found.where("lane is null").select("k", "spot"), found.where("lane is not null")
 
 
+def _merge(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+    """Two sorted runs ``high, low, k, spot, twice`` as one. The place of each string of ``y`` in ``x`` is found by binary
+    search, and strings that both have are marked."""
+    left, right = np.searchsorted(x[0], y[0], "left"), np.searchsorted(x[0], y[0], "right")
+    for j in np.flatnonzero(left < right).tolist():
+        for i in range(left[j], right[j]):
+            if x[1][i] == y[1][j]:
+                x[4][i] = y[4][j] = True
+    return [np.insert(p, right, q) for p, q in zip(x, y, strict=True)]
+
+
 def _merged(lanes: DataFrame) -> DataFrame:
-    """Strings of divided anchors that two shards have: the sorted runs of a lane are merged by binary search."""
+    """Strings of divided anchors that two runs have: the runs of a range are merged two by two."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(d, ">u8").reshape(-1, 2).astype(np.uint64) for d in table["digests"].to_pylist()]
-        high, low = np.concatenate([x[:, 0] for x in keys]), np.concatenate([x[:, 1] for x in keys])
-        ks, spots = (np.concatenate([np.array(x, np.int64) for x in table[c].to_pylist()]) for c in ("ks", "spots"))
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        left, right = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
-        twice = right - left > 1
-        for i in np.flatnonzero(twice).tolist():
-            twice[i] = (low[left[i] : right[i]] == low[i]).sum() > 1
-        return pa.table({"k": ks[order][twice], "spot": spots[order][twice]})
+        runs = []
+        for d, k, spot in zip(*(table[c].to_pylist() for c in ("digests", "ks", "spots")), strict=True):
+            key = np.frombuffer(d, ">u8").reshape(-1, 2).astype(np.uint64)
+            runs.append([key[:, 0], key[:, 1], np.array(k, np.int64), np.array(spot, np.int64), np.zeros(len(key), bool)])
+        while len(runs) > 1:
+            runs = [_merge(*runs[a : a + 2]) if a + 1 < len(runs) else runs[a] for a in range(0, len(runs), 2)]
+        _, _, ks, spots, twice = runs[0]
+        return pa.table({"k": ks[twice], "spot": spots[twice]})
 
     return lanes.groupBy("anchor", "lane").applyInArrow(run, "k long, spot long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Every row of ``docs`` without the bytes of strings of ``length`` bytes that start at two places or more.
-
-    Adds ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (binary: the remaining bytes) and ``kept_text`` (the
-    same as a string, without characters that a cut goes through) to the columns of ``docs``. Texts count as UTF-8 bytes, a null text as an empty one; strings never reach over two rows, are judged on the
-    input, and may overlap. Rows are told apart by numbers that a written copy of ``docs`` gives them, whatever their ids:
-    those that repeat an id, or have none, are rows of their own, and those that repeat a text repeat each other. An empty table gives an empty result. Columns of ``docs`` keep their
-    names, whatever they are; the five new names replace such columns.
-    """
+def _cut(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """``(row, n_bytes, n_removed, n_spans, kept, kept_text)``, ``row`` being the whole row of ``docs``."""
+    if not GRAM <= length < GRAM + (1 << _WIDTH_BITS) - 1:
+        raise ValueError("length is out of range")
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("k")), "suffixes-rows")
@@ -331,8 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs, lanes = _shards(cut, length)
     found = copies.union(runs).union(_merged(lanes))
     spans = found.groupBy("k").agg(F.collect_list("spot").alias("spots"))  # no more than a text has strings
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")]
-    whole = rows.select(F.struct(*[F.col("row").getField(c).alias(c) for c in names]).alias("row"), "k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+    whole = rows.select("row", "k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
     joined = whole.join(spans, "k", "left").select("row", "t", "spots")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +365,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("row", whole.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(take, schema).select(*[F.col("row").getField(c).alias(c) for c in names], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    return joined.mapInArrow(take, schema)
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Every row of ``docs`` without the bytes of strings of ``length`` bytes that start at two places or more.
+
+    Adds ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (binary: the remaining bytes) and ``kept_text`` (the
+    same as a string, without characters that a cut goes through) to the columns of ``docs``. Texts count as UTF-8 bytes, a
+    null text as an empty one; strings never reach over two rows, are judged on the
+    input, and may overlap. Rows are told apart by numbers that a written copy of ``docs`` gives them, whatever their ids:
+    those that repeat an id, or have none, are rows of their own, and those that repeat a text repeat each other. An empty
+    table gives an empty result. Columns of ``docs`` keep their names, whatever they are; the five new names replace such
+    columns. ``length`` is ``GRAM`` at least.
+    """
+    found = _cut(docs, text_col, length)
+    names = [c for c in docs.columns if c not in _ADDED]
+    return found.select(*[F.col("row").getField(c).alias(c) for c in names], *_ADDED)
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts, as ``remove_repeats`` finds it, all other columns as they are,
+    whatever their names. A null text becomes an empty one."""
+    found = _cut(docs, text_col, length)
+    return found.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_equals_brute_force(spark, monkeypatch, small):
     ids = [*range(len(texts) - 3), None, 4, 4]
     rows = [(i, t, b"x", 1) for i, t in zip(ids, texts, strict=True)] + [(7, texts[7], b"y", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept binary, k long").repartition(5)
-    for length in (60, 100):
+    for length in (60, 100, 300):
         got = suffixes.remove_repeats(df, length=length).collect()
         assert len(got) == len(rows)
         want = Counter((i, *b) for (i, *_), b in zip(rows, brute([(t or "").encode() for _, t, *_ in rows], length), strict=True))
@@ -107,3 +107,29 @@ def test_rows_without_an_id_stay_apart(spark, monkeypatch):
     got = suffixes.remove_repeats(df, length=60).select("text", "n_removed", "n_spans").collect()
     want = [(t, b[1], b[2]) for t, b in zip(texts, brute([t.encode() for t in texts], 60), strict=True)]
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_many_rows_without_an_id(spark):
+    """40,000 different texts under one id, some of them with a passage in common."""
+    docs = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "concat(repeat(sha2(cast(id as string), 256), 4), if(id % 100 = 0, concat(repeat(sha2('x', 256), 3), sha2('y', 256)), '')) as text", "id")
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs).select("id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert len(got) == 40_000
+    last = {i: hashlib.sha256(str(i).encode()).hexdigest() for i in range(0, 40_000, 100)}
+    many = Counter(h[-j:] for h in last.values() for j in range(1, 20))  # what stands before the passage may be the same too
+    want = {i: 256 + sum(many[h[-j:]] > 1 for j in range(1, 20)) for i, h in last.items()}
+    assert all(v[1:] == ((want[i], 1) if i in want else (0, 0)) for i, v in got.items())
+
+
+def test_many_equal_rows(spark):
+    """5,000 copies of a text are removed whole, in time in proportion to their number."""
+    import time
+
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(800))
+    took = []
+    for n in (1000, 5000):
+        docs = spark.range(n).selectExpr("1L as doc_id", f"'{text}' as text")
+        began = time.monotonic()
+        rows = suffixes.remove_repeats(docs).select("n_bytes", "n_removed", "n_spans").distinct().collect()
+        took.append(time.monotonic() - began)
+        assert [tuple(r) for r in rows] == [(len(text), len(text), 1)]
+    assert took[1] < 8 * took[0] + 10
