@@ -32,6 +32,11 @@ def count(bits: DataFrame, first: int | None = None, last: int | None = None) ->
     return bits.groupBy("bkey").agg(F.count("*").alias("n"))
 
 
+def drop(bits: DataFrame, keys: DataFrame) -> DataFrame:
+    """The bitmaps but those of ``keys(bkey)``."""
+    return bits.join(keys, "bkey", "left_anti")
+
+
 def packed(bits: DataFrame) -> DataFrame:
     """The bitmap of each 32,768-bit bucket as binary, and how many bits it has."""
     bucket = F.bitmap_bucket_number(F.col("offset") + 1)

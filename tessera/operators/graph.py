@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import naming, order
 from tessera.operators.lineage import reliable
 
 #: Rounds between two checkpoints.
@@ -19,6 +20,27 @@ def _cut(df: DataFrame, round_: int) -> DataFrame:
     return df if (round_ + 1) % EVERY else reliable(df)
 
 
+def graphs(log: DataFrame) -> DataFrame:
+    """``(name, seq)`` of the graphs that exist after a log of CREATE and DROP."""
+    return naming.live(log)
+
+
+def add_nodes(log: DataFrame) -> DataFrame:
+    """``(id, props)``: writing a node again replaces its properties; missing ones are an empty map."""
+    last = log.groupBy("id").agg(F.max_by(F.struct("props"), "seq").alias("n"))
+    return last.select("id", F.coalesce("n.props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("props"))
+
+
+def get_nodes(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(id)`` with the columns of the node; null, and ``is_there`` false, where there is none."""
+    return asked.join(nodes.withColumn("is_there", F.lit(True)), "id", "left").withColumn("is_there", F.coalesce("is_there", F.lit(False)))
+
+
+def get_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(src, dst)`` with the columns of the edge; null, and ``is_there`` false, where there is none."""
+    return asked.join(edges.withColumn("is_there", F.lit(True)), ["src", "dst"], "left").withColumn("is_there", F.coalesce("is_there", F.lit(False)))
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     ids = nodes.select("id")
@@ -62,27 +84,47 @@ def neighbours(edges: DataFrame, start: int, depth: int, kind: str = "") -> Data
     return seen.where(F.col("id") != start)
 
 
-def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:
-    """``(id, cost, path)``: the cheapest path to every node within reach, ties to the smallest array of nodes.
+def cheapest(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:
+    """``(id, cost, before)``: the cost of the cheapest way to every node within reach, and the node before it on such a way,
+    the smallest if there are several; null for ``start``.
 
-    Relaxes the nodes that changed until none does; weights must not be negative. ``rounds`` bounds the number of edges.
+    Relaxes the nodes whose cost fell until none does; weights must be above 0, or at least not negative on a way without
+    cycles of weight 0. ``rounds`` bounds the number of edges. A row holds three numbers, however long the ways are.
     """
     spark = edges.sparkSession
-    best = spark.createDataFrame([(start, 0.0, [start])], "id bigint, cost double, path array<bigint>")
+    steps = edges.select("src", "dst", "weight")
+    best = spark.createDataFrame([(start, 0.0, None)], "id bigint, cost double, before bigint")
     front, r = best, 0
     while rounds is None or r < rounds:
-        step = front.withColumnRenamed("id", "src").join(edges.select("src", "dst", "weight"), "src")
-        offers = step.where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        offers = offers.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("o")).select("id", "o.cost", "o.path")
-        old = best.select("id", F.struct("cost", "path").alias("old"))
-        front = _cut(offers.join(old, "id", "left").where("old is null or struct(cost, path) < old").drop("old"), EVERY - 1)
+        offers = steps.join(front.select(F.col("id").alias("src"), "cost"), "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("before"))
+        offers = offers.where(F.col("id") != start).groupBy("id").agg(F.min(F.struct("cost", "before")).alias("o")).select("id", "o.cost", "o.before")
+        old = best.select("id", F.col("cost").alias("old"), F.col("before").alias("old_before"))
+        new = offers.join(old, "id", "full").select("id", "old", F.when(F.col("old").isNull() | (F.col("cost") < F.col("old")) | ((F.col("cost") == F.col("old")) & (F.col("before") < F.col("old_before"))), F.struct("cost", "before")).otherwise(F.struct(F.col("old").alias("cost"), F.col("old_before").alias("before"))).alias("o"))
+        both = reliable(new.select("id", "o.cost", "o.before", (F.col("old").isNull() | (F.col("o.cost") < F.col("old"))).alias("fell")))
+        best, front = both.select("id", "cost", "before"), both.where("fell").select("id", "cost")
         if front.isEmpty():
             break
-        best = _cut(best.union(front).groupBy("id").agg(F.min(F.struct("cost", "path")).alias("o")).select("id", "o.cost", "o.path"), EVERY - 1)
         r += 1
     return best
 
 
+def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None, to: DataFrame | None = None) -> DataFrame:
+    """``(id, cost, path)``: the cheapest path from ``start`` to every node within reach, or to those of ``to(id)``; at every
+    step back the smallest node is taken. Paths are put together from ``cheapest`` for the asked nodes only, a join a step."""
+    best = cheapest(edges, start, rounds)
+    asked = best if to is None else best.join(to.select("id").distinct(), "id", "left_semi")
+    back = best.select(F.col("id").alias("at"), F.col("before").alias("next"))
+    live = asked.select("id", "cost", F.col("before").alias("at"), F.array("id").alias("path"))
+    done = None
+    while True:
+        ended = live.where("at is null").select("id", "cost", "path")
+        done = ended if done is None else done.union(ended)
+        live = live.where("at is not null")
+        if live.isEmpty():
+            return done
+        live = reliable(live.join(back, "at").select("id", "cost", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path")))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """``(id, rank)`` after a fixed number of rounds from 1/N; the rank of nodes without out-edges is dropped."""
     rounds = rounds if rounds > 0 else 20
@@ -121,8 +163,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 50, strict_gai
         labels = nxt.select("id", "label")
         if not changed:
             break
-    names = labels.select("label").distinct().withColumn("community", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(names, "label").select("id", F.col("community").cast("bigint").alias("community"))
+    names = order.placed(labels.select("label").distinct(), [], ["label"])
+    return labels.join(names, "label").select("id", F.col("place").cast("bigint").alias("community"))
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -72,6 +72,21 @@ def ttl_remaining(state: DataFrame, as_of_us: int) -> DataFrame:
     return state.where(is_live(as_of_us)).select(*KEY, F.when(F.col("expire_us").isNotNull(), F.greatest(F.col("expire_us") - as_of_us, F.lit(0))).alias("ttl_us"))
 
 
+def update_ttl(state: DataFrame, changes: DataFrame, as_of_us: int) -> DataFrame:
+    """The state with new times to live for the live entries of ``changes(tenant, key, ttl_us)``; one of 0 or less lets an
+    entry live for good."""
+    asked = changes.select(*KEY, F.col("ttl_us").alias("new_ttl"), F.lit(True).alias("asked"))
+    expire = F.when(F.col("new_ttl") > 0, F.lit(as_of_us) + F.col("new_ttl"))
+    found = state.join(asked, KEY, "left")
+    return found.withColumn("expire_us", F.when(F.col("asked") & is_live(as_of_us), expire).otherwise(F.col("expire_us"))).select(*state.columns)
+
+
+def delete_if_expired(state: DataFrame, keys: DataFrame, as_of_us: int) -> DataFrame:
+    """``keys(tenant, key)`` with whether each was there, had expired and so is deleted, and the bytes this frees."""
+    gone = sweep(state, as_of_us).select(*KEY, "size")
+    return keys.join(gone, KEY, "left").select(*KEY, F.col("size").isNotNull().alias("is_deleted"), F.coalesce("size", F.lit(0)).cast("bigint").alias("freed"))
+
+
 def sweep(state: DataFrame, as_of_us: int) -> DataFrame:
     """The expired entries, all of them: what a clean-up pass removes."""
     return state.where(~is_live(as_of_us))

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import reliable
-
-#: Ranges into which the order of victims is cut at most, so that running sums need no single task.
-RANGES = 4096
+from tessera.operators.order import in_ranges
 
 
 def victims(entries: DataFrame, order: list[Column], need: int, most: int | None = None) -> DataFrame:
@@ -17,12 +14,11 @@ def victims(entries: DataFrame, order: list[Column], need: int, most: int | None
     Entries are cut into ranges of the order by a distributed sort; sums of the ranges come first, and only the running
     sum inside a range is a window. ``freed`` is the sum up to and with each victim, ``place`` its place from 1.
     """
-    ranges = min(RANGES, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = reliable(entries.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))  # ranges must not be drawn twice
+    placed = in_ranges(entries, *order)
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.withColumn("s", F.sum("size").over(inside)).withColumn("c", F.count("*").over(inside))
     sums = local.groupBy("part").agg(F.max("s").alias("part_s"), F.max("c").alias("part_c"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
     bases = sums.select("part", F.coalesce(F.sum("part_s").over(before), F.lit(0)).alias("base_s"), F.coalesce(F.sum("part_c").over(before), F.lit(0)).alias("base_c"))
     found = local.join(F.broadcast(bases), "part").withColumn("freed", F.col("base_s") + F.col("s")).withColumn("place", F.col("base_c") + F.col("c"))
     found = found.where((F.col("freed") - F.col("size") < need) & F.lit(need > 0))
@@ -40,6 +36,33 @@ def lfu(entries: DataFrame, need: int, most: int | None = None) -> DataFrame:
     return victims(entries, [F.asc("accesses"), F.asc("key")], need, most)
 
 
+def emergency(entries: DataFrame, need: int, batch: int = 1000, attempts: int = 3) -> DataFrame:
+    """The victims of an emergency: by accesses in up to ``attempts`` batches of ``batch`` entries and, if they free too
+    little, by last access for what is left. ``step`` tells the two apart. Ends short if nothing is left to evict."""
+    first = lfu(entries, need, batch * attempts).withColumn("step", F.lit("batch"))
+    freed = first.agg(F.max("freed")).first()[0] or 0
+    if freed >= need:
+        return first
+    rest = entries.join(first.select("tenant", "key"), ["tenant", "key"], "left_anti")
+    return first.unionByName(lru(rest, need - freed).withColumn("step", F.lit("force")))
+
+
+def evict_key(entries: DataFrame, key: str) -> DataFrame:
+    """The entry of one key; none for an empty key or one that isn't there."""
+    return entries.where((F.col("key") == key) & F.lit(key != ""))
+
+
+def reserve(entries: DataFrame, new_size: int, capacity: int) -> DataFrame:
+    """The victims, by last access, that make room for ``new_size`` bytes; none if there is room or no capacity is set.
+
+    Raises if the new entry is larger than the capacity.
+    """
+    if capacity and new_size > capacity:
+        raise ValueError("insufficient storage")
+    used = (entries.agg(F.sum("size")).first()[0] or 0) if capacity else 0
+    return lru(entries, used + new_size - capacity if capacity else 0)
+
+
 def by_priority(entries: DataFrame) -> DataFrame:
     """The one entry with the least expiry (nanoseconds, 0 if none) plus a million for each byte, ties by key."""
     priority = F.coalesce(F.col("expire_us") * 1000, F.lit(0)) + F.col("size") * 1_000_000
@@ -78,9 +101,13 @@ def optimal_ttl(latency_ms: Column, accesses_per_hour: Column, least: float, mos
 
 
 def ttl_distribution(entries: DataFrame, as_of_us: int) -> DataFrame:
-    """Least, mean, median and greatest seconds to live of the entries that expire."""
+    """Least, mean, median and greatest seconds to live of the entries that expire. The median is the mean of the two middle
+    values, which are found by ranges."""
     ttl = entries.where("expire_us is not null").select(((F.col("expire_us") - as_of_us) / 1e6).alias("ttl"))
-    return ttl.agg(F.count("*").alias("n"), F.round(F.min("ttl"), 6).alias("min_ttl"), F.round(F.avg("ttl"), 6).alias("avg_ttl"), F.round(F.percentile("ttl", 0.5), 6).alias("p50_ttl"), F.round(F.max("ttl"), 6).alias("max_ttl"))
+    middle = [F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)]
+    median = values_at(ttl, "ttl", lambda total: total.where("total > 0").select(F.explode(F.array(*middle)).alias("i"))).agg(F.round(F.avg("value"), 6).alias("p50_ttl"))
+    ends = ttl.agg(F.count("*").alias("n"), F.round(F.min("ttl"), 6).alias("min_ttl"), F.round(F.avg("ttl"), 6).alias("avg_ttl"), F.round(F.max("ttl"), 6).alias("max_ttl"))
+    return ends.join(F.broadcast(median)).select("n", "min_ttl", "avg_ttl", "p50_ttl", "max_ttl")  # one row each
 
 
 def qps_profile(qps: Column) -> Column:
@@ -98,14 +125,20 @@ def quorum(configured: Column, peers: Column) -> Column:
     return F.when(configured > 0, configured).otherwise(F.floor(peers / 2).cast("int") + 1)
 
 
-def percentiles(values: DataFrame, column: str, points: list[float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ``int(n * p)`` from 0, the last one at most.
+def values_at(values: DataFrame, column: str, asked) -> DataFrame:
+    """The rows of ``asked(total)`` (``i``: a place from 0; ``total``: one row, how many values there are), each with the
+    ``value`` at its place. There should be few.
 
     Values are counted first and the running count is taken over distinct values cut into ranges, as victims are.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("size")).withColumn("key", F.col("v"))
-    total = counted.agg(F.sum("size").alias("total"))
+    places = asked(counted.agg(F.sum("size").alias("total")))
     placed = victims(counted, [F.asc("v")], 1 << 62)
+    found = placed.join(F.broadcast(places), (F.col("freed") > F.col("i")) & (F.col("freed") - F.col("size") <= F.col("i")))
+    return found.withColumn("value", F.col("v")).select(*places.columns, "value")
+
+
+def percentiles(values: DataFrame, column: str, points: list[float]) -> DataFrame:
+    """Nearest-rank percentiles: the value at place ``int(n * p)`` from 0, the last one at most."""
     at = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("total") * F.lit(p)).cast("bigint"), F.col("total") - 1).alias("i")) for p in points]))
-    asked = total.where("total > 0").select(at.alias("a")).select("a.p", "a.i")
-    return placed.join(F.broadcast(asked), (F.col("freed") > F.col("i")) & (F.col("freed") - F.col("size") <= F.col("i"))).select("p", F.col("v").alias("value"))  # one row a point
+    return values_at(values, column, lambda total: total.where("total > 0").select(at.alias("a")).select("a.p", "a.i")).select("p", "value")

@@ -39,6 +39,20 @@ def bloom_probe(asked: DataFrame, key: str, bits: DataFrame, m: int, k: int) ->
     return met.select(key, (F.col("is_set") == 1).alias("may_contain"))
 
 
+def bloom_export(bits: DataFrame) -> DataFrame:
+    """``(word, value)``: the filter as 64-bit words, bit ``i`` of a word being its ``i``-th from the lowest; words without a
+    set bit have no row."""
+    at = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    return bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(at).alias("value"))
+
+
+def bloom_import(words: DataFrame, m: int) -> DataFrame:
+    """``(bit)`` of an exported filter of ``m`` bits; a bit beyond them is an error."""
+    each = words.select("word", "value", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where(F.expr("shiftrightunsigned(value, i) & 1 = 1"))
+    bit = F.col("word") * 64 + F.col("i")
+    return each.select(F.when(bit < m, bit).otherwise(F.raise_error("not a filter of that size").cast("bigint")).alias("bit"))
+
+
 def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 

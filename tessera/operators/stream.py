@@ -28,6 +28,14 @@ def retained(stream: DataFrame, as_of_us: int, keep_us: int = 24 * 3_600_000_000
     return stream.where(F.col("ts_us") >= as_of_us - keep_us)
 
 
+def append(stream: DataFrame, batch: DataFrame, now_us: int, keep_us: int = 24 * 3_600_000_000) -> DataFrame:
+    """The stream after a batch of events: what is older than the retention time goes first, then the batch comes in whole.
+    Events without a time, or with 0, get ``now_us``, and those without a type are of type "generic"."""
+    ts = F.when(F.coalesce("ts_us", F.lit(0)) == 0, F.lit(now_us)).otherwise(F.col("ts_us")).cast("bigint")
+    new = batch.withColumn("ts_us", ts).withColumn("type", F.coalesce("type", F.lit("generic")))
+    return retained(stream, now_us, keep_us).unionByName(new.select(*stream.columns))
+
+
 def anomalies(stream: DataFrame, threshold: float = 2.5, least: int = 10) -> DataFrame:
     """Events whose distance from their stream's mean, in population standard deviations, exceeds ``threshold``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import naming
+
 #: Distances are rounded to this many digits before they are ordered, so that sums taken in another order agree.
 DIGITS = 6
 #: Queries that may be broadcast to the scan of the vectors; a request's worth.
@@ -85,6 +87,43 @@ def first_of_each(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.min_by("v", "seq").alias("v"), F.min("seq").alias("seq"))
 
 
+def indexes(log: DataFrame) -> DataFrame:
+    """``(name, seq, dimension, metric)`` of the indexes that exist after ``log(name, seq, op, dimension, metric)``; a metric
+    that isn't known counts as cosine."""
+    known = F.when(F.col("metric").isin(*METRICS), F.col("metric")).otherwise("cosine")
+    return naming.live(log).withColumn("metric", known)
+
+
+def index_entries(made: DataFrame, log: DataFrame) -> DataFrame:
+    """``(name, id, seq, v)`` after ``log(name, id, seq, op, v)`` of INSERT and DELETE: the first vector of the index's
+    dimension that was inserted under an id since the index was made and the id was last deleted."""
+    own = log.join(made.select("name", F.col("seq").alias("made"), "dimension"), "name").where("seq > made")
+    gone = own.where("op = 'DELETE'").groupBy("name", "id").agg(F.max("seq").alias("gone"))
+    put = own.where((F.col("op") == "INSERT") & (F.size("v") == F.col("dimension"))).join(gone, ["name", "id"], "left").where("gone is null or seq > gone")
+    return put.groupBy("name", "id").agg(F.min_by("v", "seq").alias("v"), F.min("seq").alias("seq")).select("name", "id", "seq", "v")
+
+
+def index_refusals(made: DataFrame, log: DataFrame, most: int) -> DataFrame:
+    """Operations on indexes as they are now that were refused: ``(name, id, seq, reason)``. There is no such index, the
+    vector has another dimension, or ``most`` INSERTs came before (repeated ids count, as they do for the limit)."""
+    ops = log.join(made.select("name", F.col("seq").alias("made"), "dimension"), "name", "left").where("made is null or seq > made")
+    wrong = F.when(F.col("made").isNull(), "no index").when((F.col("op") == "INSERT") & (F.size("v") != F.col("dimension")), "dimension")
+    judged = ops.select("name", "id", "seq", "op", wrong.alias("reason"))
+    taken = judged.where("op = 'INSERT' and reason is null").select("seq").orderBy("seq").limit(most).agg(F.max("seq").alias("last"), F.count("*").alias("n"))
+    full = judged.join(F.broadcast(taken)).withColumn("reason", F.when((F.col("op") == "INSERT") & F.col("reason").isNull() & (F.col("n") >= most) & (F.col("seq") > F.col("last")), "full").otherwise(F.col("reason")))  # one row
+    return full.where("reason is not null").select("name", "id", "seq", "reason")
+
+
+def put_with_embeddings(puts: DataFrame) -> DataFrame:
+    """``(key, value, v)`` after ``puts(key, seq, value, v)``: the last value of each key, and the first vector put with it
+    that has the dimension of the very first put. A key must not be empty."""
+    checked = puts.withColumn("key", F.when(F.length("key") > 0, F.col("key")).otherwise(F.raise_error("empty key").cast("string")))
+    first = checked.agg(F.min_by(F.size("v"), "seq").alias("dimension"))
+    fits = checked.join(F.broadcast(first)).where(F.size("v") == F.col("dimension"))  # one row
+    values = checked.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    return values.join(fits.groupBy("key").agg(F.min_by("v", "seq").alias("v")), "key", "left")
+
+
 def index_stats(vectors: DataFrame) -> DataFrame:
     """Vectors, dimension and distinct labels."""
     return vectors.agg(F.count("*").alias("size"), F.max(F.size("v")).cast("bigint").alias("dimension"), F.count_distinct("label").alias("labels"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import order
+
+#: Members whose places are asked for at once, and places from an end of a set that count as near to it.
+MOST_ASKED, NEAR = 1000, 10_000
+
 
 def fold(log: DataFrame) -> DataFrame:
     """The last score of each member of each set."""
@@ -21,34 +26,47 @@ def score(zset: DataFrame, zkey: str, member: str) -> DataFrame:
 
 def ranks(zset: DataFrame) -> DataFrame:
     """Every member with its place from 0."""
-    order = Window.partitionBy("zkey").orderBy("score", "member")
-    return zset.withColumn("rank", F.row_number().over(order) - 1)
+    own = Window.partitionBy("zkey").orderBy("score", "member")
+    return zset.withColumn("rank", F.row_number().over(own) - 1)
 
 
 def rank_of(zset: DataFrame, zkey: str, members: DataFrame) -> DataFrame:
-    """Places of the asked members of one set by counting what stands before them; -1 for one that isn't there.
+    """Places of the asked ``members(member)`` of one set; -1 for one that isn't there.
 
-    ``members`` are few (a request's worth): the set is scanned once and only counts are shuffled, never sorted.
+    Up to ``MOST_ASKED`` members are a request: their scores go to the scan as one sorted row, each entry of the set counts
+    into the gap between two of them that it falls in, and the counts of the gaps are summed up. More are joined to the
+    places of the whole set.
     """
     one = zset.where(F.col("zkey") == zkey).select("member", "score")
-    asked = members.join(one, "member", "left").select(F.col("member").alias("asked"), F.col("score").alias("own"))
-    before = (F.col("score") < F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("member") < F.col("asked")))
-    counted = asked.join(one, before, "left").groupBy("asked", "own").agg(F.count("member").alias("n"))
-    return counted.select(F.col("asked").alias("member"), F.when(F.col("own").isNull(), -1).otherwise(F.col("n")).cast("bigint").alias("rank"))
+    asked = members.select("member").distinct()
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        found = order.placed(one, [], ["score", "member"]).select("member", F.col("place").alias("rank"))
+        return asked.join(found, "member", "left").select("member", F.coalesce("rank", F.lit(-1)).cast("bigint").alias("rank"))
+    met = one.join(F.broadcast(asked), "member", "left_semi").agg(F.sort_array(F.collect_list(F.struct("score", "member"))).alias("asked"))  # one row of MOST_ASKED at most
+    gap = F.size(F.filter("asked", lambda x: x < F.struct("score", "member")))
+    gaps = one.join(F.broadcast(met)).groupBy(gap.alias("gap")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over MOST_ASKED + 1 rows
+    sums = gaps.select("gap", (F.sum("n").over(before) - 1).alias("rank"))
+    ranked = met.select(F.posexplode("asked").alias("gap", "x")).join(F.broadcast(sums), "gap").select("x.member", "rank")
+    return asked.join(F.broadcast(ranked), "member", "left").select("member", F.coalesce("rank", F.lit(-1)).cast("bigint").alias("rank"))
 
 
 def by_position(zset: DataFrame, start: int, stop: int) -> DataFrame:
     """Members at places ``start`` to ``stop`` of every set, both included; negative places count from the end.
 
-    Without negative places only the first ``stop + 1`` of each set are kept before the shuffle.
+    Where both places count from the same end and lie within ``NEAR`` of it, each task keeps as many of a set's members
+    before the shuffle as could be meant; else places are found by ranges.
     """
-    placed = ranks(zset)
-    if start >= 0 and stop >= 0:
-        return placed.where(F.col("rank").between(start, stop))
-    size = F.count("*").over(Window.partitionBy("zkey"))
-    placed = placed.withColumn("n", size)
+    if 0 <= start and 0 <= stop < NEAR:
+        return ranks(zset).where(F.col("rank").between(start, stop))
+    if -NEAR <= start < 0 and stop < 0:
+        back = Window.partitionBy("zkey").orderBy(F.desc("score"), F.desc("member"))
+        tail = zset.withColumn("back", F.row_number().over(back)).where(F.col("back") <= -start).where(F.col("back") >= -stop)
+        return tail.join(card(zset), "zkey").withColumn("rank", (F.col("card") - F.col("back")).cast("int")).drop("back", "card")
     at = lambda x: F.lit(x) if x >= 0 else F.col("n") + x
-    return placed.where((F.col("rank") >= F.greatest(at(start), F.lit(0))) & (F.col("rank") <= at(stop))).drop("n")
+    found = order.placed(zset, ["zkey"], ["score", "member"])
+    kept = found.where((F.col("place") >= F.greatest(at(start), F.lit(0))) & (F.col("place") <= at(stop)))
+    return kept.withColumn("rank", F.col("place").cast("int")).drop("n", "place")
 
 
 def card(zset: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import bitmap, graph, kv, oplog, policy, sketch, stream, vector, zset
+from tessera.operators import bitmap, graph, kv, naming, oplog, policy, sketch, stream, vector, zset
 from tessera.sources import derived
 from tessera.sources.derived import AS_OF_US, HOUR_US
 
@@ -47,9 +47,9 @@ VEC = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM
 NATION = """nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation),
 sold AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
     JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-edges AS (SELECT src, dst, CAST(region AS VARCHAR) AS type, weight FROM (SELECT * FROM sold QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3) JOIN nodes ON id = dst)"""
+edges AS MATERIALIZED (SELECT src, dst, CAST(region AS VARCHAR) AS type, weight FROM (SELECT * FROM sold QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3) JOIN nodes ON id = dst)"""
 USERS = f"""{EV}, steps AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY type ORDER BY ts_us, seq) AS dst, type, seq FROM ev),
-edges AS (SELECT src, dst, arg_min(type, seq) AS type, count(*) AS weight FROM steps WHERE dst IS NOT NULL AND dst <> src GROUP BY 1, 2),
+edges AS MATERIALIZED (SELECT src, dst, arg_min(type, seq) AS type, count(*) AS weight FROM steps WHERE dst IS NOT NULL AND dst <> src GROUP BY 1, 2),
 nodes AS (SELECT DISTINCT user_id AS id FROM ev)"""
 
 
@@ -99,6 +99,13 @@ def stream_retention(spark, sf):
     return stream.retained(derived.events(spark, sf), AS_OF_US, 2 * DAY_US).select("seq", "stream", "ts_us")
 
 
+@query("stream_append", f"WITH {EV} SELECT seq, stream, ts_us, type FROM ev WHERE seq % 10 <> 0 AND ts_us >= {AS_OF_US - 2 * DAY_US} UNION ALL SELECT seq, stream, CASE WHEN seq % 20 = 0 THEN {AS_OF_US} ELSE ts_us END, CASE WHEN seq % 30 = 0 THEN 'generic' ELSE type END FROM ev WHERE seq % 10 = 0")
+def stream_append(spark, sf):
+    e = derived.events(spark, sf)
+    batch = e.where("seq % 10 = 0").withColumn("ts_us", F.when(F.col("seq") % 40 == 0, F.lit(None)).when(F.col("seq") % 20 == 0, 0).otherwise(F.col("ts_us"))).withColumn("type", F.when(F.col("seq") % 30 != 0, F.col("type")))
+    return stream.append(e.where("seq % 10 <> 0"), batch, AS_OF_US, 2 * DAY_US).select("seq", "stream", "ts_us", "type")
+
+
 @query(
     "stream_anomaly",
     f"""WITH {EV}, s AS (SELECT stream, avg(value) AS m, stddev_pop(value) AS d FROM ev GROUP BY 1 HAVING count(*) >= 10)
@@ -143,6 +150,20 @@ def cdc_log(spark, sf):
     return oplog.changes(derived.oplog(spark, sf))
 
 
+@query("cdc_switch", f"WITH {LOG}, {CDC} SELECT * FROM cdc WHERE seq BETWEEN 100 AND 499 OR seq >= 700")
+def cdc_switch(spark, sf):
+    switches = spark.createDataFrame([(100, True), (500, False), (600, False), (700, True)], "seq long, is_on boolean")
+    return oplog.changes_while(derived.oplog(spark, sf), switches)
+
+
+@query("group_offsets", f"WITH {EV}, o AS (SELECT stream, 'g' || (user_id % 3) AS \"group\", arg_max(ts_us, seq) AS offset_us FROM ev WHERE user_id % 5 = 1 AND stream <> 'view' GROUP BY 1, 2), a AS (SELECT stream, 'g' || x AS \"group\" FROM (SELECT DISTINCT stream FROM ev), range(0, 4) r(x)) SELECT stream, \"group\", coalesce(offset_us, 0) AS offset_us FROM a LEFT JOIN o USING (stream, \"group\")")
+def group_offsets(spark, sf):
+    e = derived.events(spark, sf)
+    log = e.where("user_id % 5 = 1 and stream <> 'view'").select("stream", F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("group"), "seq", F.col("ts_us").alias("offset_us"))
+    asked = e.select("stream").distinct().select("stream", F.explode(F.array(*[F.lit(f"g{k}") for k in range(4)])).alias("group"))
+    return oplog.offset_of(oplog.offsets(log), asked)
+
+
 @query("cdc_changes", f"WITH {LOG}, {CDC} SELECT * FROM cdc WHERE ts_us > {FROM_US} ORDER BY ts_us, seq LIMIT 100")
 def cdc_changes(spark, sf):
     return oplog.read_after(oplog.changes(derived.oplog(spark, sf)), FROM_US, 100)
@@ -237,6 +258,18 @@ def kv_sweep(spark, sf):
     return kv.sweep(_state(spark, sf), LATE_US).select("tenant", "key", "expire_us")
 
 
+@query("kv_update_ttl", f"WITH {STATE} SELECT tenant, key, CASE WHEN (expire_us IS NULL OR expire_us >= {LATE_US}) AND CAST(substr(key, 6) AS BIGINT) % 7 = 0 THEN CASE WHEN CAST(substr(key, 6) AS BIGINT) % 2 = 0 THEN {LATE_US + HOUR_US} END ELSE expire_us END AS expire_us FROM state")
+def kv_update_ttl(spark, sf):
+    changes = _keys(spark).withColumn("ttl_us", F.when(F.substring("key", 6, 9).cast("bigint") % 2 == 0, HOUR_US).otherwise(0))
+    everyone = spark.range(0, 200_000, 7).select(F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("tenant"), F.concat(F.lit("user:"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 2 == 0, HOUR_US).otherwise(0).alias("ttl_us"))
+    return kv.update_ttl(_state(spark, sf), changes.unionByName(everyone).distinct(), LATE_US).select("tenant", "key", "expire_us")
+
+
+@query("kv_delete_if_expired", f"WITH {STATE}, {KEYS} SELECT k.tenant, k.key, s.key IS NOT NULL AS is_deleted, coalesce(s.size, 0) AS freed FROM keys k LEFT JOIN (SELECT * FROM state WHERE expire_us < {LATE_US}) s ON s.tenant = k.tenant AND s.key = k.key")
+def kv_delete_if_expired(spark, sf):
+    return kv.delete_if_expired(_state(spark, sf), _keys(spark), LATE_US)
+
+
 @query(
     "kv_metadata",
     f"""WITH {ENTRIES} SELECT tenant, key, size, accesses, CAST(floor(({LATE_US} - created_us) / 1000) AS BIGINT) AS age_ms,
@@ -347,9 +380,18 @@ def bit_count_range(spark, sf):
     return bitmap.count(_bits(spark, sf), 20, 90)
 
 
-@query("bitmap_packed", f'WITH {BITS} SELECT bkey, CAST("offset" // 32768 + 1 AS BIGINT) AS bucket, count(*) AS n FROM bits GROUP BY 1, 2')
+PACKED = f"""{BITS}, pb AS (SELECT bkey, CAST("offset" // 32768 + 1 AS BIGINT) AS bucket, ("offset" % 32768) // 8 AS i, sum(1 << CAST("offset" % 8 AS INTEGER)) AS byte, count(*) AS n FROM bits GROUP BY 1, 2, 3),
+    bk AS (SELECT bkey, bucket, CAST(sum(n) AS BIGINT) AS n FROM pb GROUP BY 1, 2)"""
+
+
+@query("bitmap_packed", f"WITH {PACKED} SELECT bk.bkey, bk.bucket, bk.n, string_agg(printf('%02X', CAST(coalesce(pb.byte, 0) AS INTEGER)), '' ORDER BY x) AS bitmap FROM bk CROSS JOIN range(0, 4096) r(x) LEFT JOIN pb ON pb.bkey = bk.bkey AND pb.bucket = bk.bucket AND pb.i = x GROUP BY 1, 2, 3")
 def bitmap_packed(spark, sf):
-    return bitmap.packed(_bits(spark, sf)).select("bkey", "bucket", "n")
+    return bitmap.packed(_bits(spark, sf)).select("bkey", "bucket", "n", F.hex("bitmap").alias("bitmap"))
+
+
+@query("bitmap_drop", f'WITH {BITS} SELECT bkey, "offset" FROM bits WHERE bkey NOT IN (\'click\', \'error\')')
+def bitmap_drop(spark, sf):
+    return bitmap.drop(_bits(spark, sf), spark.sql("SELECT explode(array('click', 'error', 'none')) AS bkey"))
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
@@ -400,16 +442,67 @@ def semantic_get(spark, sf):
     return vector.best_match(v.drop("label"), v.where("id = 5").select(F.col("v").alias("q")), _labels(spark, sf), 0.8, AS_OF_US).select("id", "value")
 
 
-@query("vector_normalize", f"WITH {VEC} SELECT id, round(3 * v[1] / sqrt(list_inner_product([3 * x for x in v], [3 * x for x in v])), 6) AS x0, round(3 * v[64] / sqrt(list_inner_product([3 * x for x in v], [3 * x for x in v])), 6) AS x63 FROM v")
+@query("vector_normalize", f"WITH {VEC}, u AS (SELECT id, [3 * x for x in v] AS u FROM v), c AS (SELECT id, sqrt(list_inner_product(u, u)) AS n, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS i FROM u) SELECT id, CAST(i AS INTEGER) AS i, round(x / n, 6) AS x FROM c")
 def vector_normalize(spark, sf):
     v = derived.vectors(spark, sf).select("id", vector.normalized(F.transform("v", lambda x: x * 3)).alias("v"))
-    return v.select("id", F.round(F.col("v")[0], 6).alias("x0"), F.round(F.col("v")[63], 6).alias("x63"))
+    return v.select("id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("vector_dedup_first", f"WITH {VEC} SELECT id % 100 AS id, min(id) AS seq, round(arg_min(v[1], id), 6) AS x0 FROM v GROUP BY 1")
+@query("vector_dedup_first", f"WITH {VEC}, f AS (SELECT id % 100 AS id, min(id) AS seq, arg_min(v, id) AS v FROM v GROUP BY 1), c AS (SELECT id, seq, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM f) SELECT id, seq, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM c")
 def vector_dedup_first(spark, sf):
     log = derived.vectors(spark, sf).select((F.col("id") % 100).alias("id"), F.col("id").alias("seq"), "v")
-    return vector.first_of_each(log).select("id", "seq", F.round(F.col("v")[0], 6).alias("x0"))
+    return vector.first_of_each(log).select("id", "seq", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def _index_log(spark, sf) -> DataFrame:
+    """Indexes named after regions; one takes vectors of half the size, one is made twice, one dropped and made again."""
+    r = derived.table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("k"))
+    half = F.when(F.col("k") == 3, 32).otherwise(64)
+    kind = F.element_at(F.array(*[F.lit(x) for x in METRIC_NAMES]), (F.col("k") + 1).cast("int"))
+    name = F.concat(F.lit("r"), F.col("k").cast("string")).alias("name")
+    made = r.select(name, (F.col("k") * 10 - 100).alias("seq"), F.lit("CREATE").alias("op"), half.alias("dimension"), kind.alias("metric"))
+    again = r.where("k in (1, 2)").select(name, F.when(F.col("k") == 1, 300).otherwise(20).cast("bigint"), F.lit("CREATE"), F.lit(64), F.lit("dot"))
+    return made.union(again).union(r.where("k in (1, 4)").select(name, (F.col("k") * 50 + 150).cast("bigint"), F.lit("DROP"), F.lit(None).cast("int"), F.lit(None).cast("string")))
+
+
+def _index_writes(spark, sf) -> DataFrame:
+    """Every vector inserted into one of six indexes, of which one never was; every fiftieth a delete of its id."""
+    op = F.when(F.col("id") % 50 == 0, "DELETE").otherwise("INSERT")
+    return derived.vectors(spark, sf).select(F.concat(F.lit("r"), (F.col("id") % 6).cast("string")).alias("name"), (F.col("id") % 90).alias("id"), F.col("id").alias("seq"), op.alias("op"), "v")
+
+
+METRIC_NAMES = ["cosine", "euclidean", "dot", "manhattan", "no such"]
+INDEXES = f"""{VEC}, rk AS (SELECT CAST(r_regionkey AS BIGINT) AS k FROM region), il AS (SELECT 'r' || k AS name, k * 10 - 100 AS seq, 'CREATE' AS op, CASE WHEN k = 3 THEN 32 ELSE 64 END AS dimension, ({METRIC_NAMES!r})[k + 1] AS metric FROM rk
+    UNION ALL SELECT 'r' || k, CASE WHEN k = 1 THEN 300 ELSE 20 END, 'CREATE', 64, 'dot' FROM rk WHERE k IN (1, 2) UNION ALL SELECT 'r' || k, k * 50 + 150, 'DROP', NULL, NULL FROM rk WHERE k IN (1, 4)),
+    ix AS (SELECT name, min(seq) AS seq, arg_min(dimension, seq) AS dimension, CASE arg_min(metric, seq) WHEN 'no such' THEN 'cosine' ELSE arg_min(metric, seq) END AS metric FROM il c
+        WHERE op = 'CREATE' AND NOT EXISTS (SELECT 1 FROM il d WHERE d.name = c.name AND d.op = 'DROP' AND d.seq > c.seq) GROUP BY 1),
+    wr AS (SELECT 'r' || (id % 6) AS name, id % 90 AS id, id AS seq, CASE WHEN id % 50 = 0 THEN 'DELETE' ELSE 'INSERT' END AS op, v FROM v)"""
+
+
+@query("vector_indexes", f"WITH {INDEXES} SELECT name, seq, dimension, metric FROM ix")
+def vector_indexes(spark, sf):
+    return vector.indexes(_index_log(spark, sf))
+
+
+@query("vector_index_entries", f"WITH {INDEXES}, a AS (SELECT w.* FROM wr w JOIN ix ON ix.name = w.name AND w.seq > ix.seq AND w.op = 'INSERT' AND len(w.v) = ix.dimension AND NOT EXISTS (SELECT 1 FROM wr d WHERE d.name = w.name AND d.id = w.id AND d.op = 'DELETE' AND d.seq > w.seq)), f AS (SELECT name, id, min(seq) AS seq, arg_min(v, seq) AS v FROM a GROUP BY 1, 2) SELECT name, id, seq, round(list_sum(v), 6) AS total, round(v[1], 6) AS x0, round(v[64], 6) AS x63 FROM f")
+def vector_index_entries(spark, sf):
+    found = vector.index_entries(vector.indexes(_index_log(spark, sf)), _index_writes(spark, sf))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return found.select("name", "id", "seq", F.round(total, 6).alias("total"), F.round(F.col("v")[0], 6).alias("x0"), F.round(F.col("v")[63], 6).alias("x63"))
+
+
+@query("vector_index_refusals", f"""WITH {INDEXES}, j AS (SELECT w.name, w.id, w.seq, w.op, CASE WHEN ix.name IS NULL THEN 'no index' WHEN w.op = 'INSERT' AND len(w.v) <> ix.dimension THEN 'dimension' END AS reason FROM wr w LEFT JOIN ix ON ix.name = w.name WHERE ix.name IS NULL OR w.seq > ix.seq),
+    k AS (SELECT *, CASE WHEN op = 'INSERT' AND reason IS NULL THEN row_number() OVER (PARTITION BY op = 'INSERT' AND reason IS NULL ORDER BY seq) END AS nth FROM j)
+    SELECT name, id, seq, CASE WHEN nth > 200 THEN 'full' ELSE reason END AS reason FROM k WHERE nth > 200 OR reason IS NOT NULL""")
+def vector_index_refusals(spark, sf):
+    return vector.index_refusals(vector.indexes(_index_log(spark, sf)), _index_writes(spark, sf), 200)
+
+
+@query("put_embedding", f"WITH {VEC}, p AS (SELECT 'k' || (id % 70) AS key, id AS seq, 'v' || id AS value, CASE WHEN id % 3 = 1 THEN v[1:32] ELSE v END AS v FROM v), f AS (SELECT key, min(seq) AS seq, arg_min(v, seq) AS v FROM p WHERE len(v) = 64 GROUP BY 1) SELECT l.key, l.value, round(list_sum(f.v), 6) AS total FROM (SELECT key, arg_max(value, seq) AS value FROM p GROUP BY 1) l LEFT JOIN f USING (key)")
+def put_embedding(spark, sf):
+    v = derived.vectors(spark, sf)
+    puts = v.select(F.concat(F.lit("k"), (F.col("id") % 70).cast("string")).alias("key"), F.col("id").alias("seq"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"), F.when(F.col("id") % 3 == 1, F.slice("v", 1, 32)).otherwise(F.col("v")).alias("v"))
+    return vector.put_with_embeddings(puts).select("key", "value", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query("vector_index_stats", f"WITH {VEC} SELECT count(*) AS size, CAST(max(len(v)) AS BIGINT) AS dimension, count(DISTINCT label) AS labels FROM v")
@@ -431,16 +524,56 @@ def graph_valid_edges(spark, sf):
     return graph.valid_edges(edges, nodes.where("id % 3 <> 0")).select("src", "dst", "weight")
 
 
-@query("graph_delete_node", f"WITH {NATION} SELECT src, dst, weight FROM edges WHERE src NOT IN (2, 5) AND dst NOT IN (2, 5)")
+def _both(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes and edges in one table; a node is an edge without an end."""
+    return edges.select("src", "dst", "weight").union(nodes.select("id", F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
+
+
+@query("graph_delete_node", f"WITH {NATION} SELECT src, dst, weight FROM edges WHERE src NOT IN (2, 5) AND dst NOT IN (2, 5) UNION ALL SELECT id, NULL, NULL FROM nodes WHERE id NOT IN (2, 5)")
 def graph_delete_node(spark, sf):
     nodes, edges = derived.nation_graph(spark, sf)
-    return graph.delete_nodes(nodes, edges, spark.sql("SELECT explode(array(2L, 5L)) AS id"))[1].select("src", "dst", "weight")
+    return _both(*graph.delete_nodes(nodes, edges, spark.sql("SELECT explode(array(2L, 5L)) AS id")))
 
 
-@query("graph_subgraph", f"WITH {NATION} SELECT src, dst, weight FROM edges WHERE src < 12 AND dst < 12")
+@query("graph_subgraph", f"WITH {NATION} SELECT src, dst, weight FROM edges WHERE src < 12 AND dst < 12 UNION ALL SELECT id, NULL, NULL FROM nodes WHERE id < 12")
 def graph_subgraph(spark, sf):
     nodes, edges = derived.nation_graph(spark, sf)
-    return graph.subgraph(nodes, edges, nodes.where("id < 12").select("id"))[1].select("src", "dst", "weight")
+    return _both(*graph.subgraph(nodes, edges, nodes.where("id < 12").select("id")))
+
+
+GRAPHS = f"{EV}, gl AS (SELECT 'g' || user_id AS name, seq, CASE WHEN type = 'error' THEN 'DROP' ELSE 'CREATE' END AS op FROM ev)"
+
+
+def _graph_log(spark, sf) -> DataFrame:
+    """Every event makes its user's graph, errors drop it."""
+    return derived.events(spark, sf).select(F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("name"), "seq", F.when(F.col("type") == "error", "DROP").otherwise("CREATE").alias("op"))
+
+
+@query("graph_catalog", f"WITH {GRAPHS} SELECT name, min(seq) AS seq FROM gl c WHERE op = 'CREATE' AND seq > coalesce((SELECT max(seq) FROM gl d WHERE d.name = c.name AND op = 'DROP'), -1) GROUP BY 1")
+def graph_catalog(spark, sf):
+    return graph.graphs(_graph_log(spark, sf))
+
+
+@query("graph_catalog_refused", f"WITH {GRAPHS} SELECT name, seq FROM (SELECT *, lag(op) OVER (PARTITION BY name ORDER BY seq) AS was FROM gl) WHERE op = 'CREATE' AND was = 'CREATE'")
+def graph_catalog_refused(spark, sf):
+    return naming.refused(_graph_log(spark, sf)).select("name", "seq")
+
+
+@query("graph_add_node", f"WITH {EV} SELECT user_id AS id, CASE WHEN arg_max(type, seq) <> 'error' THEN arg_max(type, seq) END AS last_type, CASE WHEN arg_max(type, seq) <> 'error' THEN 1 ELSE 0 END AS n_props FROM ev GROUP BY 1")
+def graph_add_node(spark, sf):
+    log = derived.events(spark, sf).select(F.col("user_id").alias("id"), "seq", F.when(F.col("type") != "error", F.create_map(F.lit("last_type"), F.col("type"))).alias("props"))
+    return graph.add_nodes(log).select("id", F.try_element_at("props", F.lit("last_type")).alias("last_type"), F.size("props").alias("n_props"))
+
+
+@query("graph_get_node", f"WITH {NATION}, a AS (SELECT x AS id FROM range(0, 60, 4) r(x)) SELECT a.id, name, nodes.id IS NOT NULL AS is_there FROM a LEFT JOIN nodes USING (id)")
+def graph_get_node(spark, sf):
+    return graph.get_nodes(derived.nation_graph(spark, sf)[0], spark.range(0, 60, 4)).select("id", "name", "is_there")
+
+
+@query("graph_get_edge", f"WITH {NATION}, a AS (SELECT x AS src, (x * 7) % 25 AS dst FROM range(0, 30) r(x)) SELECT a.src, a.dst, weight, edges.src IS NOT NULL AS is_there FROM a LEFT JOIN edges ON edges.src = a.src AND edges.dst = a.dst")
+def graph_get_edge(spark, sf):
+    asked = spark.range(30).select(F.col("id").alias("src"), ((F.col("id") * 7) % 25).alias("dst"))
+    return graph.get_edges(derived.nation_graph(spark, sf)[1], asked).select("src", "dst", "weight", "is_there")
 
 
 @query("graph_update_node", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE WHEN n_nationkey < 10 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END AS region, CASE WHEN n_nationkey < 10 THEN 'yes' END AS tag FROM nation")
@@ -456,48 +589,53 @@ def graph_neighbors(spark, sf):
     return graph.neighbours(derived.nation_graph(spark, sf)[1], 0, 3)
 
 
-@query(
-    "graph_shortest_path",
-    f"""WITH RECURSIVE {NATION}, walk AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS cost, [CAST(0 AS BIGINT)] AS path
-        UNION ALL SELECT e.dst, cost + e.weight, list_append(path, e.dst) FROM walk JOIN edges e ON e.src = walk.id WHERE NOT list_contains(path, e.dst) AND len(path) < 9)
-    SELECT id, cost, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, path) = 1""",
-)
+def _paths_sql(rounds: int) -> str:
+    """Costs relaxed as often as a way can have edges, then the ways back over the smallest node of those that are tight."""
+    out = f"WITH RECURSIVE {NATION}, c0 AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS cost)"
+    for k in range(rounds):
+        out += f", c{k + 1} AS MATERIALIZED (SELECT id, min(cost) AS cost FROM (SELECT * FROM c{k} UNION ALL SELECT e.dst, c.cost + e.weight FROM c{k} c JOIN edges e ON e.src = c.id) GROUP BY 1)"
+    return out + f""", before AS MATERIALIZED (SELECT t.id, min(e.src) AS b FROM c{rounds} t JOIN edges e ON e.dst = t.id JOIN c{rounds} s ON s.id = e.src WHERE t.id <> 0 AND s.cost + e.weight = t.cost GROUP BY 1),
+    walk AS (SELECT id, id AS at, CAST(id AS VARCHAR) AS path FROM c{rounds} UNION ALL SELECT w.id, b.b, b.b || '>' || w.path FROM walk w JOIN before b ON b.id = w.at)
+    SELECT walk.id, cost, path FROM walk JOIN c{rounds} ON c{rounds}.id = walk.id WHERE walk.at = 0"""
+
+
+@query("graph_shortest_path", _paths_sql(25))
 def graph_shortest_path(spark, sf):
     found = graph.shortest_paths(derived.nation_graph(spark, sf)[1], 0)
     return found.select("id", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    out = f"WITH {USERS}, deg AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"
+    out = f"WITH {USERS}, deg AS MATERIALIZED (SELECT src, count(*) AS n FROM edges GROUP BY 1), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"
     for k in range(rounds):
-        out += f", r{k + 1} AS (SELECT nodes.id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g, 0) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(r.rank / deg.n) AS g FROM edges JOIN deg USING (src) JOIN r{k} r ON r.id = edges.src GROUP BY 1) x ON x.dst = nodes.id)"
+        out += f", r{k + 1} AS MATERIALIZED (SELECT nodes.id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g, 0) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(r.rank / deg.n) AS g FROM edges JOIN deg USING (src) JOIN r{k} r ON r.id = edges.src GROUP BY 1) x ON x.dst = nodes.id)"
     return out + f" SELECT id, round(rank, 8) AS rank FROM r{rounds}"
 
 
-@query("graph_pagerank", _pagerank_sql(6))
+@query("graph_pagerank", _pagerank_sql(20))
 def graph_pagerank(spark, sf):
-    return graph.pagerank(*derived.user_graph(spark, sf), rounds=6).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(*derived.user_graph(spark, sf)).withColumn("rank", F.round("rank", 8))
 
 
 def _community_sql(rounds: int, greedy: bool) -> str:
-    out = f"WITH {NATION}, l0 AS (SELECT id, id AS label FROM nodes)"
+    out = f"WITH {NATION}, l0 AS MATERIALIZED (SELECT id, id AS label FROM nodes)"
     for k in range(rounds):
         keep = "WHERE label <> own" if greedy else ""
         go = "b.w > coalesce(m.w, 0)" if greedy else "true"
-        out += f""", v{k} AS (SELECT e.src AS id, l.label, sum(e.weight) AS w, any_value(o.label) AS own FROM edges e JOIN l{k} l ON l.id = e.dst JOIN l{k} o ON o.id = e.src GROUP BY 1, 2 HAVING sum(e.weight) > 0),
-        b{k} AS (SELECT * FROM v{k} {keep} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1),
-        l{k + 1} AS (SELECT l.id, CASE WHEN b.id IS NOT NULL AND {go} THEN b.label ELSE l.label END AS label FROM l{k} l LEFT JOIN b{k} b ON b.id = l.id LEFT JOIN (SELECT id, w FROM v{k} WHERE label = own) m ON m.id = l.id)"""
+        out += f""", v{k} AS MATERIALIZED (SELECT e.src AS id, l.label, sum(e.weight) AS w, any_value(o.label) AS own FROM edges e JOIN l{k} l ON l.id = e.dst JOIN l{k} o ON o.id = e.src GROUP BY 1, 2 HAVING sum(e.weight) > 0),
+        b{k} AS MATERIALIZED (SELECT * FROM v{k} {keep} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1),
+        l{k + 1} AS MATERIALIZED (SELECT l.id, CASE WHEN b.id IS NOT NULL AND {go} THEN b.label ELSE l.label END AS label FROM l{k} l LEFT JOIN b{k} b ON b.id = l.id LEFT JOIN (SELECT id, w FROM v{k} WHERE label = own) m ON m.id = l.id)"""
     return out + f" SELECT id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS community FROM l{rounds}"
 
 
-@query("graph_label_propagation", _community_sql(4, False))
+@query("graph_label_propagation", _community_sql(50, False))
 def graph_label_propagation(spark, sf):
-    return graph.communities(*derived.nation_graph(spark, sf), rounds=4)
+    return graph.communities(*derived.nation_graph(spark, sf))
 
 
-@query("graph_louvain_greedy", _community_sql(4, True))
+@query("graph_louvain_greedy", _community_sql(50, True))
 def graph_louvain_greedy(spark, sf):
-    return graph.communities(*derived.nation_graph(spark, sf), rounds=4, strict_gain=True, other_only=True)
+    return graph.communities(*derived.nation_graph(spark, sf), strict_gain=True, other_only=True)
 
 
 # --- sketches ------------------------------------------------------------------------------------------------------------
@@ -549,6 +687,16 @@ def bloom_intersect(spark, sf):
     return sketch.bloom_intersection(bloom_build(spark, sf), sketch.bloom_build(_users(spark, sf, "user_id % 3 = 0"), "user_id", M, K))
 
 
+@query("bloom_export", f"WITH {EV}, w AS (SELECT bit // 64 AS word, sum(CAST(1 AS HUGEINT) << CAST(bit % 64 AS INTEGER)) AS v FROM {_bloom('user_id % 2 = 0')} GROUP BY 1) SELECT CAST(word AS BIGINT) AS word, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS value FROM w")
+def bloom_export(spark, sf):
+    return sketch.bloom_export(bloom_build(spark, sf))
+
+
+@query("bloom_import", f"WITH {EV} SELECT bit FROM {_bloom('user_id % 2 = 0')}")
+def bloom_import(spark, sf):
+    return sketch.bloom_import(bloom_export(spark, sf), M)
+
+
 @query("bloom_stats", f"WITH {EV} SELECT count(*) AS bits, round(count(*) / {M}, 9) AS fill, round(pow(count(*) / {M}, {K}), 9) AS fpr FROM {_bloom('user_id % 2 = 0')}")
 def bloom_stats(spark, sf):
     return sketch.bloom_stats(bloom_build(spark, sf), M, K)
@@ -576,6 +724,25 @@ for _name, _order, _f, _need, _most in (("evict_lru", "last_us, key", policy.lru
     query(_name, _victims_sql(_order, _need, _most))(lambda spark, sf, f=_f, need=_need, most=_most: f(_entries(spark, sf), need, most).select("key", "size", "freed", "place"))
 
 
+EMERGENCY = f"""{ENTRIES}, ea AS (SELECT tenant, key, size, CAST(sum(size) OVER (ORDER BY accesses, key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed, row_number() OVER (ORDER BY accesses, key) AS place FROM entries),
+    ef AS (SELECT * FROM ea WHERE freed - size < 90 AND place <= 12), eb AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY last_us, key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed, row_number() OVER (ORDER BY last_us, key) AS place FROM entries WHERE key NOT IN (SELECT key FROM ef))"""
+
+
+@query("evict_emergency", f"WITH {EMERGENCY} SELECT key, size, freed, place, 'batch' AS step FROM ef UNION ALL SELECT key, size, freed, place, 'force' FROM eb WHERE freed - size < 90 - (SELECT max(freed) FROM ef)")
+def evict_emergency(spark, sf):
+    return policy.emergency(_entries(spark, sf), 90, 4).select("key", "size", "freed", "place", "step")
+
+
+@query("evict_key", f"WITH {ENTRIES} SELECT key, size FROM entries WHERE key = 'user:33'")
+def evict_key(spark, sf):
+    return policy.evict_key(_entries(spark, sf), "user:33").select("key", "size")
+
+
+@query("evict_reserve", f"WITH {ENTRIES}, r AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY last_us, key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed, row_number() OVER (ORDER BY last_us, key) AS place FROM entries) SELECT key, size, freed, place FROM r WHERE freed - size < (SELECT sum(size) FROM entries) + 50 - 100")
+def evict_reserve(spark, sf):
+    return policy.reserve(_entries(spark, sf), 50, 100).select("key", "size", "freed", "place")
+
+
 @query("evict_legacy", f"WITH {ENTRIES} SELECT key, coalesce(expire_us * 1000, 0) + size * 1000000 AS priority FROM entries ORDER BY priority, key LIMIT 1")
 def evict_legacy(spark, sf):
     return policy.by_priority(_entries(spark, sf)).select("key", "priority")
@@ -590,11 +757,14 @@ def eviction_decision(spark, sf):
     return kv.tenant_stats(_state(spark, sf)).select("tenant", "bytes", *policy.decision(F.col("bytes"), 50))
 
 
-@query("tinylfu_admit", f"WITH {EV}, {CMS}, lo AS (SELECT user_id AS victim, estimate AS victim_estimate FROM est ORDER BY estimate, user_id LIMIT 1) SELECT user_id, estimate, estimate + 1 >= victim_estimate + 20 AS admitted FROM est, lo")
+@query("tinylfu_admit", f"WITH {EV}, {CMS}, u AS (SELECT user_id, user_id % 4 AS tenant, max(ts_us) AS last_us FROM ev GROUP BY 1), vi AS (SELECT tenant, arg_min(user_id, (last_us, user_id)) AS victim FROM u GROUP BY 1), ve AS (SELECT tenant, estimate AS victim_estimate FROM vi JOIN est ON est.user_id = victim) SELECT u.user_id, estimate, estimate + 1 >= victim_estimate AS admitted FROM u JOIN est USING (user_id) JOIN ve USING (tenant)")
 def tinylfu_admit(spark, sf):
+    """Every user against the least recently seen one of the same tenant."""
     est = cms_estimate(spark, sf)
-    victim = est.orderBy("estimate", "user_id").limit(1).select(F.col("estimate").alias("victim_estimate"))
-    return est.join(F.broadcast(victim)).select("user_id", "estimate", policy.admits(F.col("estimate"), F.col("victim_estimate") + 20).alias("admitted"))  # one row
+    last = derived.events(spark, sf).groupBy("user_id").agg(F.max("ts_us").alias("last_us")).withColumn("tenant", F.col("user_id") % 4)
+    victims = last.groupBy("tenant").agg(F.min_by("user_id", F.struct("last_us", "user_id")).alias("victim"))
+    ve = victims.join(est, F.col("victim") == F.col("user_id")).select("tenant", F.col("estimate").alias("victim_estimate"))
+    return last.join(est, "user_id").join(ve, "tenant").select("user_id", "estimate", policy.admits(F.col("estimate"), F.col("victim_estimate")).alias("admitted"))
 
 
 TTL = "CASE WHEN accesses = 0 THEN 60 ELSE {lo} + least(1, accesses * {p} * exp(-age / 3600) / 100) * ({hi} - {lo}) END"
@@ -695,9 +865,10 @@ def fmt_bytes(spark, sf):
     return n.select("n", scalar.format_bytes(F.col("n")).alias("text"))
 
 
-@query("fmt_duration", "SELECT ms, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000.0::DOUBLE) WHEN ms < 3600000 THEN printf('%.1fm', ms / 60000.0::DOUBLE) ELSE printf('%.1fh', ms / 3600000.0::DOUBLE) END AS text FROM (SELECT x * x * 7 + x AS ms FROM range(0, 3000) r(x))")
+@query("fmt_duration", f"WITH {EV} SELECT ms, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000.0::DOUBLE) WHEN ms < 3600000 THEN printf('%.1fm', ms / 60000.0::DOUBLE) ELSE printf('%.1fh', ms / 3600000.0::DOUBLE) END AS text FROM (SELECT DISTINCT seq * seq * 7 + seq AS ms FROM ev)")
 def fmt_duration(spark, sf):
-    return spark.range(3000).select((F.col("id") * F.col("id") * 7 + F.col("id")).alias("ms")).withColumn("text", scalar.format_duration(F.col("ms")))
+    ms = derived.events(spark, sf).select((F.col("seq") * F.col("seq") * 7 + F.col("seq")).alias("ms")).distinct()
+    return ms.withColumn("text", scalar.format_duration(F.col("ms")))
 
 
 @query("fmt_percent", f"WITH {EV}, c AS (SELECT type, count(*) AS n FROM ev GROUP BY 1), t AS (SELECT sum(n) AS total FROM c) SELECT type, printf('%.1f%%', n / total * 100) AS percent, printf('%.1f/s', n / 8.0::DOUBLE) AS rate FROM c, t")
@@ -719,9 +890,10 @@ def tenant_valid(spark, sf):
     return names.union(extra).distinct().withColumn("ok", scalar.is_tenant(F.col("name")))
 
 
-@query("next_pow2", "SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE 1 << CAST(ceil(log2(n)) AS INTEGER) END AS BIGINT) AS power FROM range(0, 5000) r(n)")
+@query("next_pow2", "SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE 1 << CAST(ceil(log2(n)) AS INTEGER) END AS BIGINT) AS power FROM (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS n FROM orders)")
 def next_pow2(spark, sf):
-    return spark.range(5000).select(F.col("id").alias("n"), scalar.next_power_of_two(F.col("id")).alias("power"))
+    n = derived.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("n")).distinct()
+    return n.select("n", scalar.next_power_of_two(F.col("n")).alias("power"))
 
 
 def _fnv_sql(steps: int) -> str:

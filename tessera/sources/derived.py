@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order import following
 from tessera.sources.tables import table
 
 #: The instant all policy and expiry queries refer to: 2024-01-31 00:00:00.
@@ -83,9 +84,9 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def user_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(id)`` and edges ``(src, dst, type, weight)``: from each user to the next one in the same event type."""
+    """Nodes ``(id)`` and edges ``(src, dst, type, weight)``: from each user to the next one in the same event type. Events are
+    cut into ranges of time, so that a frequent type isn't one task's."""
     e = events(spark, sf_dir)
-    step = Window.partitionBy("type").orderBy("ts_us", "seq")
-    pairs = e.withColumn("dst", F.lead("user_id").over(step)).where("dst is not null and dst <> user_id")
+    pairs = following(e.select("type", "ts_us", "seq", "user_id"), ["type"], ["ts_us", "seq"], "user_id", "dst").where("dst is not null and dst <> user_id")
     edges = pairs.groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("weight"), F.min_by("type", "seq").alias("type"))
     return e.select(F.col("user_id").alias("id")).distinct(), edges.select("src", "dst", "type", "weight")

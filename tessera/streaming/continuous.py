@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators import oplog
+from tessera.operators import kv, oplog
 from tessera.operators.stream import AGGREGATES
+from tessera.sources import snapshots
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -66,6 +67,18 @@ def write_behind(log: DataFrame, folder: str, checkpoint: str, every: str | None
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def snapshot_as_it_grows(log: DataFrame, whole_log, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A snapshot after each micro-batch of an op-log stream, at intervals of ``every``: the live entries of ``whole_log()``,
+    the op-log so far as a table, as of the batch's newest operation."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max("ts_us")).first()[0]
+        if newest is not None:
+            snapshots.snapshot(kv.fold(whole_log()), folder, newest)
+
+    return consume(log, checkpoint, write, every)
+
+
 def consume(stream: DataFrame, checkpoint: str, handle, every: str | None = None) -> StreamingQuery:
     """A consumer group: ``handle(batch, number)`` gets each micro-batch once it is read; the group's place is its checkpoint."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import bitmap, graph, kv, oplog, policy, sketch, stream, vector, zset
-from tessera.sources import snapshots
+from tessera.operators import bitmap, graph, kv, oplog, order, policy, sketch, stream, vector, zset
+from tessera.sources import generators, snapshots
 from tessera.store import Store
 from tessera.streaming import continuous
 
@@ -204,3 +204,97 @@ def test_registered_shortest_path_has_no_bound(spark, monkeypatch):
     edges = spark.range(10).selectExpr("id AS src", "id + 1 AS dst", "'x' AS type", "1L AS weight")
     monkeypatch.setattr(catalog.derived, "nation_graph", lambda *_: (spark.range(11), edges))
     assert {r.id: r.cost for r in catalog.QUERIES["graph_shortest_path"](spark, "").collect()} == {i: float(i) for i in range(11)}
+
+
+def test_places_by_ranges(spark, monkeypatch):
+    rows = [(k, f"m{i:03d}", float(i * 7 % 10)) for k, n in (("a", 200), ("b", 3), ("c", 1)) for i in range(n)]
+    z = spark.createDataFrame(rows, "zkey string, member string, score double").repartition(5)
+    want = {k: sorted((s, m) for x, m, s in rows if x == k) for k in "abc"}
+    got = order.placed(z, ["zkey"], ["score", "member"]).collect()
+    assert all(want[r.zkey][r.place] == (r.score, r.member) and r.n == len(want[r.zkey]) for r in got) and len(got) == 204
+    nexts = order.following(z, ["zkey"], ["score", "member"], "member", "after").collect()
+    for r in nexts:
+        k = want[r.zkey].index((r.score, r.member))
+        assert r.after == (want[r.zkey][k + 1][1] if k + 1 < len(want[r.zkey]) else None)
+    monkeypatch.setattr(zset, "NEAR", 2)
+    for a, b in ((0, -1), (-5, -2), (5, 20), (-300, 150), (3, 1)):
+        places = zset.by_position(z, a, b).collect()
+        for k, members in want.items():
+            n = len(members)
+            first, last = max(a if a >= 0 else n + a, 0), b if b >= 0 else n + b
+            assert sorted((r["rank"], r.member) for r in places if r.zkey == k) == [(i, members[i][1]) for i in range(first, min(last + 1, n))]
+    asked = spark.createDataFrame([("m007",), ("m150",), ("none",), ("m007",)], "member string")
+    want_ranks = {m: k for k, (_, m) in enumerate(want["a"])} | {"none": -1}
+    for most in (1000, 1):
+        monkeypatch.setattr(zset, "MOST_ASKED", most)
+        ranks = zset.rank_of(z, "a", asked).collect()
+        assert len(ranks) == 3 and all(r["rank"] == want_ranks[r.member] for r in ranks)
+    assert [r["rank"] for r in zset.rank_of(z.where("score > 99"), "a", asked).collect()] == [-1, -1, -1]
+
+
+def test_percentile_of_two_middles(spark):
+    e = spark.createDataFrame([(i * S,) for i in (5, 1, 9, 3)] + [(None,)], "expire_us long")
+    r = policy.ttl_distribution(e, 0).first()
+    assert (r.n, r.min_ttl, r.avg_ttl, r.p50_ttl, r.max_ttl) == (4, 1, 4.5, 4, 9)
+    assert policy.ttl_distribution(e.limit(0), 0).first().p50_ttl is None
+
+
+def test_paths_of_asked_nodes(spark):
+    _, e = small_graph(spark)
+    got = {r.id: (r.cost, r.path) for r in graph.shortest_paths(e, 0).collect()}
+    assert got == {0: (0, [0]), 1: (1, [0, 1]), 2: (2, [0, 1, 2]), 3: (3, [0, 1, 2, 3])}
+    assert [r.path for r in graph.shortest_paths(e, 0, to=spark.createDataFrame([(3,), (99,)], "id long")).collect()] == [[0, 1, 2, 3]]
+    assert [r.id for r in graph.cheapest(e, 3).collect()] == [3]
+
+
+def test_snapshots_take_the_place_of_the_last(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    l = log(spark, (0, "SET", "a", "1", None, None), (1, "SET", "b", "2", None, None))
+    snapshots.snapshot(kv.fold(l), folder, 50)
+    snapshots.compact(spark, snapshots.restore(spark, folder).unionByName(log(spark, (2, "SET", "c", "3", None, None))), folder, 60)  # a log that reads the folder
+    assert {r.key for r in snapshots.restore(spark, folder).collect()} == {"a", "b", "c"}
+    bad = kv.fold(l).withColumn("value", F.raise_error("no").cast("string"))
+    with pytest.raises(Exception, match="no"):
+        snapshots.snapshot(bad, folder, 50)
+    assert snapshots.restore(spark, folder).count() == 3  # a failed write leaves what was there
+    z = spark.createDataFrame([("k", "a", 1.5), ("k", "b", -2.0)], "zkey string, member string, score double")
+    snapshots.snapshot_sets(z, str(tmp_path / "z"))
+    assert {tuple(r) for r in snapshots.restore_sets(spark, str(tmp_path / "z")).collect()} == {("k", "a", 1.5), ("k", "b", -2.0)}
+
+
+def test_snapshot_as_the_log_grows(spark, tmp_path):
+    folder, snap, marks = (str(tmp_path / x) for x in ("l", "s", "c"))
+    for k in range(2):
+        snapshots.append_log(log(spark, (k, "SET", f"k{k}", "v", None, None)).withColumn("seq", F.lit(k).cast("long")), folder)
+        source = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        continuous.snapshot_as_it_grows(source, lambda: snapshots.read_log(spark, folder), snap, marks).awaitTermination()
+        assert {r.key for r in snapshots.restore(spark, snap).collect()} == {f"k{i}" for i in range(k + 1)}
+
+
+def test_generators(spark):
+    v = generators.unit_vectors(spark, 50, 16)
+    assert v.where(F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) - 1) > 1e-9).count() == 0
+    q = generators.noisy_queries(v, 10)
+    found = vector.nearest_of_each(v, q, 1).collect()
+    assert len(found) == 5 and all(r.qid == r.id for r in found)
+    assert generators.key_values(spark, 100, 10).where("length(value) = 128").select("key").distinct().count() == 10
+    assert zset.card(zset.fold(generators.sorted_sets(spark, 3, 20))).where("card = 20").count() == 3
+    assert bitmap.fold(generators.bit_writes(spark, 200, 2, 1000)).where("offset between 0 and 999").count() > 50
+    e = generators.graph_edges(spark, 20, 3)
+    assert 0 < e.count() <= 60 and e.where("src = dst").count() == 0
+    assert stream.tumbling(generators.stream_events(spark, 100, 4), 10_000, "count").agg(F.sum("agg_value")).first()[0] == 100
+
+
+def test_refusals(spark):
+    e = spark.createDataFrame([("t", "a", 10, 1, 3), ("t", "b", 20, 2, 4)], "tenant string, key string, size long, last_us long, accesses long")
+    assert policy.evict_key(e, "").count() == 0 and policy.evict_key(e, "b").first().size == 20
+    assert [r.key for r in policy.reserve(e, 5, 30).collect()] == ["a"] and policy.reserve(e, 5, 0).count() == 0 == policy.reserve(e, 5, 35).count()
+    with pytest.raises(ValueError, match="insufficient"):
+        policy.reserve(e, 40, 30)
+    assert sorted((r.key, r.step) for r in policy.emergency(e, 25, 1, 1).collect()) == [("a", "batch"), ("b", "force")]
+    with pytest.raises(Exception, match="not a filter"):
+        sketch.bloom_import(spark.createDataFrame([(1, 1)], "word long, value long"), 64).collect()
+    with pytest.raises(Exception, match="empty key"):
+        vector.put_with_embeddings(spark.createDataFrame([("", 1, "v", [1.0])], "key string, seq long, value string, v array<double>")).collect()
+    with pytest.raises(ValueError):
+        oplog.changes_while(spark.createDataFrame([], LOG), spark.range(1001).selectExpr("id as seq", "true as is_on"))
