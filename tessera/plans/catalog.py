@@ -890,6 +890,27 @@ def tenant_valid(spark, sf):
     return names.union(extra).distinct().withColumn("ok", scalar.is_tenant(F.col("name")))
 
 
+BOUNDS = [1, 5, 10, 20, 50, 100]
+
+
+@query("first_true", f"WITH {EV} SELECT seq, CAST(len(list_filter({BOUNDS}, lambda b: b < value)) AS INTEGER) AS bucket FROM ev")
+def first_true(spark, sf):
+    bounds = F.array(*[F.lit(float(b)) for b in BOUNDS])
+    return derived.events(spark, sf).select("seq", scalar.first_true(bounds, lambda b: b >= F.col("value")).alias("bucket"))
+
+
+@query("json_decode", f"SELECT event_id AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.no') AS missing FROM events")
+def json_decode(spark, sf):
+    found = derived.table(spark, sf, "events").select(F.col("event_id").alias("seq"), scalar.from_json(F.col("props"), "k bigint, no string").alias("j"))
+    return found.select("seq", "j.k", F.col("j.no").alias("missing"))
+
+
+@query("json_encode", f"WITH {EV} SELECT seq, '{{\"seq\":' || seq || ',\"type\":\"' || type || '\"' || CASE WHEN user_id % 2 = 0 THEN ',\"k\":' || k ELSE '' END || '}}' AS json FROM ev")
+def json_encode(spark, sf):
+    e = derived.events(spark, sf).select("seq", "type", F.when(F.col("user_id") % 2 == 0, F.col("k")).alias("k"))
+    return e.select("seq", scalar.as_json("seq", "type", "k").alias("json"))
+
+
 @query("next_pow2", "SELECT n, CAST(CASE WHEN n <= 1 THEN 1 ELSE 1 << CAST(ceil(log2(n)) AS INTEGER) END AS BIGINT) AS power FROM (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS n FROM orders)")
 def next_pow2(spark, sf):
     n = derived.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("n")).distinct()

@@ -298,3 +298,9 @@ def test_refusals(spark):
         vector.put_with_embeddings(spark.createDataFrame([("", 1, "v", [1.0])], "key string, seq long, value string, v array<double>")).collect()
     with pytest.raises(ValueError):
         oplog.changes_while(spark.createDataFrame([], LOG), spark.range(1001).selectExpr("id as seq", "true as is_on"))
+
+
+def test_json_and_search(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("not json",), (None,)], "t string")
+    assert [r.j and tuple(r.j) for r in df.select(scalar.from_json(F.col("t"), "a int, b string").alias("j")).collect()] == [(1, "x"), None, None]
+    assert spark.range(1).select(scalar.first_true(F.array(F.lit(1), F.lit(4), F.lit(9)), lambda x: x >= 4), scalar.first_true(F.array(F.lit(1)), lambda x: x > 4)).first() == (1, 1)
