@@ -1,6 +1,7 @@
 """A directed property graph as two tables: nodes ``(id, ...)`` and edges ``(src, dst, type, weight)``, one edge a pair.
 
-Iterative operators cut their lineage each round with a reliable checkpoint, or keep a handful of rounds as one plan.
+Iterative operators write their edges once, so that no round works them out anew, and cut their lineage each round with a
+reliable checkpoint, or keep a handful of rounds as one plan.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, start: int, depth: int, kind: str = "") -> DataFrame:
     """Distinct nodes at 1 to ``depth`` steps from ``start`` over edges of one type ("" for any), with the fewest steps."""
-    e = edges if not kind else edges.where(F.col("type") == kind)
+    e = reliable((edges if not kind else edges.where(F.col("type") == kind)).select("src", "dst"))
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id bigint, steps int")
     front = seen
@@ -92,7 +93,7 @@ def cheapest(edges: DataFrame, start: int, rounds: int | None = None) -> DataFra
     cycles of weight 0. ``rounds`` bounds the number of edges. A row holds three numbers, however long the ways are.
     """
     spark = edges.sparkSession
-    steps = edges.select("src", "dst", "weight")
+    steps = reliable(edges.select("src", "dst", "weight"))
     best = spark.createDataFrame([(start, 0.0, None)], "id bigint, cost double, before bigint")
     front, r = best, 0
     while rounds is None or r < rounds:
@@ -129,9 +130,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     """``(id, rank)`` after a fixed number of rounds from 1/N; the rank of nodes without out-edges is dropped."""
     rounds = rounds if rounds > 0 else 20
     damping = damping if 0 < damping < 1 else 0.85
-    n = nodes.count()
-    e = edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree")
-    ids = nodes.select("id")
+    ids = reliable(nodes.select("id"))
+    n = ids.count()
+    links = reliable(edges.select("src", "dst"))
+    e = reliable(links.join(links.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree"))
     ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for r in range(rounds):
         given = e.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
@@ -146,7 +148,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 50, strict_gai
     out-neighbours, ties to the smallest. With ``other_only`` the candidate is the best label that it doesn't hold, and with
     ``strict_gain`` it moves only for more than its own label weighs. Ends when nothing changes; labels are numbered from 0.
     """
-    labels = nodes.select("id").withColumn("label", F.col("id"))
+    edges = reliable(edges.select("src", "dst", "weight"))
+    labels = reliable(nodes.select("id")).withColumn("label", F.col("id"))
     top = Window.partitionBy("id").orderBy(F.desc("w"), "label")
     for r in range(rounds):
         held = labels.select(F.col("id").alias("dst"), "label")
