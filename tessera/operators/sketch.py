@@ -17,6 +17,12 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
     return m, math.ceil(m / n * math.log(2))
 
 
+def bloom_sizes(n: Column, p: Column) -> tuple[Column, Column]:
+    """The same for columns."""
+    m = F.ceil(-n * F.ln(p) / (F.ln(F.lit(2.0)) * F.ln(F.lit(2.0))))
+    return m, F.ceil(m / n * F.ln(F.lit(2.0)))
+
+
 def _hash(key: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
 

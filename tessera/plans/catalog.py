@@ -652,9 +652,12 @@ def _bloom(cond: str) -> str:
     return f"(SELECT DISTINCT x.bit AS bit FROM (SELECT {bit_rows('user_id', M, K)} AS x FROM (SELECT DISTINCT user_id FROM ev WHERE {cond})))"
 
 
-@query("bloom_sizing", "SELECT n, p, CAST(ceil(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS m, CAST(ceil(ceil(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2)) AS BIGINT) AS k FROM (VALUES (1000, CAST(0.01 AS DOUBLE)), (50000, CAST(0.001 AS DOUBLE)), (10, CAST(0.2 AS DOUBLE))) t(n, p)")
+@query("bloom_sizing", f"WITH {EV}, c AS (SELECT type, CAST(count(DISTINCT user_id) AS DOUBLE) AS n FROM ev GROUP BY 1), m AS (SELECT type, p, n, CAST(ceil(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS m FROM c, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) t(p)) SELECT type, p, m, CAST(ceil(m / n * ln(2)) AS BIGINT) AS k FROM m")
 def bloom_sizing(spark, sf):
-    return spark.createDataFrame([(n, p, *sketch.bloom_size(n, p)) for n, p in ((1000, 0.01), (50000, 0.001), (10, 0.2))], "n int, p double, m bigint, k bigint")
+    n = derived.events(spark, sf).groupBy("type").agg(F.count_distinct("user_id").cast("double").alias("n"))
+    each = n.select("type", "n", F.explode(F.array(F.lit(0.01), F.lit(0.2))).alias("p"))
+    m, k = sketch.bloom_sizes(F.col("n"), F.col("p"))
+    return each.select("type", "p", m.alias("m"), k.alias("k"))
 
 
 @query("bloom_build", f"WITH {EV} SELECT bit FROM {_bloom('user_id % 2 = 0')}")
@@ -841,10 +844,11 @@ def replication_stats(spark, sf):
     return _peers(spark, sf).agg(F.count("*").alias("peers"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("HEALTHY", "DEGRADED", "DOWN")])
 
 
-@query("quorum", "SELECT CAST(c AS INTEGER) AS configured, CAST(n AS INTEGER) AS peers, CAST(CASE WHEN c > 0 THEN c ELSE n // 2 + 1 END AS INTEGER) AS quorum FROM range(0, 3) a(c), range(1, 8) b(n)")
+@query("quorum", f"WITH {EV}, g AS (SELECT type, CAST(count(DISTINCT user_id) AS INTEGER) AS peers FROM ev GROUP BY 1) SELECT type, configured, peers, CAST(CASE WHEN configured > 0 THEN configured ELSE peers // 2 + 1 END AS INTEGER) AS quorum FROM g, (SELECT CAST(x AS INTEGER) AS configured FROM range(0, 4) r(x))")
 def quorum(spark, sf):
-    grid = spark.sql("SELECT cast(c.id as int) AS configured, explode(sequence(1, 7)) AS peers FROM range(0, 3) c")
-    return grid.withColumn("quorum", policy.quorum(F.col("configured"), F.col("peers")))
+    peers = derived.events(spark, sf).groupBy("type").agg(F.count_distinct("user_id").cast("int").alias("peers"))
+    grid = peers.select("type", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("configured"), "peers")
+    return grid.withColumn("quorum", policy.quorum(F.col("configured"), F.col("peers")).cast("int"))
 
 
 @query("rate_limit", f"WITH {EV} SELECT user_id, ts_us - ts_us % {HOUR_US} AS bucket_us, count(*) AS requests, greatest(count(*) - 2, 0) AS rejected FROM ev GROUP BY 1, 2 HAVING count(*) > 2")
