@@ -315,12 +315,12 @@ def _cut(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     bare = rows.select("k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
     pieces = written(_list_pieces(bare, length), "suffixes-pieces")
     anchors = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
-    anchors = written(anchors, "suffixes-anchors")  # a plain table, so that a join with a hot anchor can be split
+    anchors = written(anchors, "suffixes-anchors").hint("merge")  # sorted joins are split where an anchor or a piece is hot
     shared = written(pieces.join(anchors, "anchor").select("anchor", "digest", "k", "spot", (F.col("d0") != F.col("d1")).alias("mixed")), "suffixes-shared")
     discard(pieces, anchors)
     mixed = shared.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "spot")).alias("one"))
     mixed = written(mixed.select("anchor", "digest", "n", "one.k", "one.spot"), "suffixes-mixed")
-    copies = shared.where("not mixed").select("k", "spot").union(shared.where("mixed").join(mixed.where("n > 1").select("anchor", "digest"), ["anchor", "digest"]).select("k", "spot"))
+    copies = shared.where("not mixed").select("k", "spot").union(shared.where("mixed").join(mixed.where("n > 1").select("anchor", "digest").hint("merge"), ["anchor", "digest"]).select("k", "spot"))
     width = F.col("spot").bitwiseAND(F.lit((1 << _WIDTH_BITS) - 1).cast("long"))
     sized = mixed.withColumn("b", width + F.lit(length - 1))
     loads = sized.groupBy("anchor").agg(F.sum("b").alias("load"))
@@ -336,6 +336,7 @@ def _cut(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     cut = texts.join(wanted, "k").select("k", "t", F.explode("asks").alias("a")).select("k", "t", "a.*")
     cut = cut.select("shard", "deal", "anchor", "k", "spot", F.substring("t", start + 1, (width + F.lit(length - 1)).cast("int")).alias("bytes"))
     runs, lanes = _shards(cut, length)
+    discard(hot)
     found = copies.union(runs).union(_merged(lanes))
     spans = found.groupBy("k").agg(F.collect_list("spot").alias("spots"))  # no more than a text has strings
     whole = rows.select("row", "k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
