@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``(doc_id, fp, component_id)``, one row for each input row. Null and empty texts have fingerprint zero and are
     linked like any other; copies share a fingerprint and so a component. A null id keeps its row, and is passed over when
-    the smallest id is taken. Rows that repeat an id stay apart. Columns other than id and text are ignored. Words are cut
-    at ASCII white space after A-Z are lower-cased; texts are read whole.
+    the smallest id is taken. Rows that repeat an id stay apart. An empty table gives an empty result. Columns other than
+    id and text are ignored. Words are cut at ASCII white space after A-Z are lower-cased; texts are read whole.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -397,6 +397,7 @@ def similar_sets(classes: DataFrame, texts: DataFrame, shingle_words: int, simil
     spread = classes.select("vid", F.explode("keys").alias("key"))
     buckets = written(spread.groupBy("key").agg(F.min("vid").alias("lead"), F.count("*").alias("m")).where("m > 1"), "simhash-buckets")
     members = written(spread.join(buckets, "key").select("key", "vid", "lead", "m"), "simhash-members")
+    discard(buckets)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,6 +418,7 @@ def similar_sets(classes: DataFrame, texts: DataFrame, shingle_words: int, simil
     parts = written(connected_components(stars), "simhash-parts")
     labelled = members.where("m > 2").join(parts, members.vid == parts.id, "left").select("key", "vid", F.coalesce("component", "vid").alias("part"))
     labelled = written(labelled, "simhash-labelled")
+    discard(members)
     sized = labelled.join(sets.select("vid", F.octet_length("s").alias("b")), "vid")
     left = sized.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.sum("b").alias("load")).where("p0 <> p1")
     left = written(left.select("key", F.ceil(F.col("load") / CELL_BYTES).cast("int").alias("deal")), "simhash-open")
@@ -445,7 +447,7 @@ def similar_sets(classes: DataFrame, texts: DataFrame, shingle_words: int, simil
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
     rest = written(dealt.mapInArrow(cells_of, "u long, v long"), "simhash-rest")
-    discard(buckets, members, sets, labelled, left)
+    discard(sets, labelled, left)
     return stars.union(rest)
 
 
@@ -475,10 +477,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = written(bare.mapInArrow(run, "rid long, id long, d0 long, d1 long, fps binary, keys array<long>"), "simhash-rows")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid"))
     classes = written(marked.groupBy("d0", "d1", "fps", "keys").agg(first.alias("one")).select(F.col("one.rid").alias("vid"), "one", "fps", "keys"), "simhash-firsts")
+    discard(marked)
     parts = connected_components(similar_sets(classes, bare.select(F.col("rid").alias("vid"), "t"), shingle_words, similarity))
     named = classes.join(parts, classes.vid == parts.id, "left").select("one", F.coalesce("component", "vid").alias("part"))
     keep = written(named.groupBy("part").agg(F.min("one").alias("one")).select(F.col("one.rid").alias(rid)), "simhash-kept")
-    discard(marked, classes)
+    discard(classes)
     return rows.join(keep, rid, "left_semi").drop(rid)
 
 
