@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, text_col: str =
     number = F.col(rid) if rid else F.monotonically_increasing_id()
     d = docs.select(number.alias("rid"), *keep, words(F.col(text_col)).alias("w"))
     e = d.select("rid", *keep, F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("\x00")))).alias("pos", "term"))
-    marks = terms.union(docs.sparkSession.createDataFrame([("\x00", END)], "term string, tid long"))
+    marks = terms.union(docs.sparkSession.range(1).select(F.lit("\x00"), F.lit(END).cast("long")))
     hit = e.join(_small(marks, n_terms, BROADCAST_TERMS), "term")
     return written(hit.select("rid", "n_words", "tid", "pos", *[F.when(F.col("tid") == END, F.col(c)).alias(c) for c in keep]), "decontamination-index")
 

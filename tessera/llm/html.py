@@ -340,8 +340,8 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row.
 
-    A null or empty page, and one without text, gives an empty text; null and repeated ids keep their rows; other columns
-    are ignored. Pages are parsed whole and nothing is capped.
+    A null or empty page, and one without text, gives an empty text; null and repeated ids keep their rows; an empty table
+    gives an empty result; other columns are ignored. Pages are parsed whole and nothing is capped.
     """
     bounded_batches(pages.sparkSession)
 

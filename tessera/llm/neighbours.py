@@ -196,7 +196,8 @@ def _taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def build_index(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> NeighbourIndex:
     """Indexes every row. Null, zero and non-finite vectors and null ids take no part; nor do vectors of another length
-    than the most frequent one. An id that is repeated counts once, with its smallest vector."""
+    than the most frequent one. An id that is repeated counts once, with its smallest vector. An empty table gives an index
+    that finds nothing; other columns are ignored."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     v = written(_taking_part(vectors, id_col, vector_col), "neighbours-vectors")
@@ -233,7 +234,7 @@ def search(index: NeighbourIndex, queries: DataFrame) -> DataFrame:
     """The ``k`` nearest rows of every indexed row in ``queries(vec_id)``, its own left out.
 
     Returns ``(query_id, rank, vec_id, score)``: nearest first, ties to the smaller id, score the inner product in double
-    precision. Queries that take no part in the index give no rows.
+    precision. Queries that take no part in the index give no rows; a repeated query counts once.
     """
     spark = queries.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

@@ -5,7 +5,8 @@ suffix arrays over shards. What goes into the shards:
 
 1. Each string of ``length`` bytes has an anchor, the leftmost of its smallest ``GRAM``-byte grams by hash. Equal strings
    have equal anchors at equal places. The consecutive strings of a text that share an anchor form a piece. All of a
-   text's strings lie in exactly one piece each, about one piece for 85 strings.
+   text's strings lie in exactly one piece each, about one piece for 85 strings. Where a text repeats itself at once, a piece
+   follows its equal; such a run is one entry with a count.
 2. Pieces are counted by anchor, pre-aggregated before the shuffle. A piece whose anchor is met once holds no repeated
    string and goes no further; equal pieces (same anchor, same digest) are one entry with a count.
 3. Pieces that share an anchor but differ come together in a shard with their bytes. The shard's suffix array is built by
@@ -40,7 +41,8 @@ MOST = (1 << 21) - 1
 #: Ranges of digests that the strings of a divided anchor are merged in, for each of its shards.
 LANES = 4
 _BASE = 0x9E3779B97F4A7C15  # any odd number will do
-_WIDTH_BITS = 16
+#: A spot in 63 bits: how often a piece follows itself, less one (16 bits), its start (31 bits) and its width (16 bits).
+_WIDTH_BITS, _AGAIN_SHIFT, _MOST_AGAIN = 16, 47, 1 << 16
 _ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
@@ -199,7 +201,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spot(start: int, width: int) -> int:
-    """Start (31 bits) and width (16 bits)."""
+    """The spot of a run of strings that isn't followed by itself."""
     return (start << _WIDTH_BITS) | width
 
 
@@ -216,7 +218,14 @@ def _list_pieces(docs: DataFrame, length: int) -> DataFrame:
             first = np.cumsum([0, *[len(t) for t in texts]])[:-1]
             place = start - first[of] + np.array(offsets)[of]
             digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(start.tolist(), (start + width + length - 1).tolist(), strict=True)), np.uint64, len(start))
-            spot = (place << _WIDTH_BITS) | width
+            follows = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1]) & (of[1:] == of[:-1]) & (width[1:] == width[:-1]) & (start[1:] == start[:-1] + width[:-1])
+            head = np.concatenate(([True], ~follows))[: len(start)]
+            since = np.arange(len(start)) - np.maximum.accumulate(np.where(head, np.arange(len(start)), 0))
+            head |= since % _MOST_AGAIN == 0
+            first_of = np.flatnonzero(head)
+            again = np.diff(np.concatenate((first_of, [len(start)]))) - 1
+            anchor, digest, of, place, width = (x[first_of] for x in (anchor, digest, of, place, width))
+            spot = (again << _AGAIN_SHIFT) | (place << _WIDTH_BITS) | width
             return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(np.array(keys, np.int64)[of]), pa.array(spot)], ["anchor", "digest", "k", "spot"])
 
         held, size = ([], [], []), 0
@@ -252,7 +261,7 @@ def _shards(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 z += 1
             again, first = repeated_strings(parts[a:z], length)
             for i in range(a, z):
-                start = spots[i] >> _WIDTH_BITS
+                start = (spots[i] >> _WIDTH_BITS) & 0x7FFFFFFF
                 for s, n in zip(*(x.tolist() for x in _runs(again[i - a])), strict=True):
                     out_k.append(ks[i])
                     out_spot.append(_spot(start + s, n))
@@ -314,11 +323,12 @@ def _cut(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("k")), "suffixes-rows")
     bare = rows.select("k", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
     pieces = written(_list_pieces(bare, length), "suffixes-pieces")
-    anchors = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
+    times = F.sum(F.shiftright("spot", _AGAIN_SHIFT) + 1).alias("n")
+    anchors = pieces.groupBy("anchor").agg(times, F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
     anchors = written(anchors, "suffixes-anchors").hint("merge")  # sorted joins are split where an anchor or a piece is hot
     shared = written(pieces.join(anchors, "anchor").select("anchor", "digest", "k", "spot", (F.col("d0") != F.col("d1")).alias("mixed")), "suffixes-shared")
     discard(pieces, anchors)
-    mixed = shared.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "spot")).alias("one"))
+    mixed = shared.where("mixed").groupBy("anchor", "digest").agg(times, F.min(F.struct("k", "spot")).alias("one"))
     mixed = written(mixed.select("anchor", "digest", "n", "one.k", "one.spot"), "suffixes-mixed")
     copies = shared.where("not mixed").select("k", "spot").union(shared.where("mixed").join(mixed.where("n > 1").select("anchor", "digest").hint("merge"), ["anchor", "digest"]).select("k", "spot"))
     width = F.col("spot").bitwiseAND(F.lit((1 << _WIDTH_BITS) - 1).cast("long"))
@@ -356,7 +366,7 @@ def _cut(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 a = (s >> _WIDTH_BITS) & 0x7FFFFFFF
                 edge = np.zeros(len(t) + 1, np.int64)
                 np.add.at(edge, a, 1)
-                np.add.at(edge, a + (s & ((1 << _WIDTH_BITS) - 1)) + length - 1, -1)
+                np.add.at(edge, a + (s & ((1 << _WIDTH_BITS) - 1)) * ((s >> _AGAIN_SHIFT) + 1) + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum()))

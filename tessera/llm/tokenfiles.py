@@ -30,7 +30,7 @@ NULL_ID = -(1 << 63)
 #: Documents whose rows a reading task returns at once.
 ROWS = 20_000
 #: Bytes of text, and documents, planned for a part.
-PART_BYTES, PART_DOCS = 64 << 20, 1_000_000
+PART_BYTES, PART_DOCS = 32 << 20, 1_000_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -56,3 +56,19 @@ def test_cases(spark):
     assert neighbours.search(neighbours.build_index(empty), empty.select("vec_id")).collect() == []
     one = df.where("vec_id = 1")
     assert neighbours.search(neighbours.build_index(one), one.select("vec_id")).collect() == []
+
+
+def test_recall_on_the_whole_table(spark):
+    """Every row whose id is divisible by 100 against all rows of the table, with the production parameters."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    queries = [i for i in ids if i % 100 == 0]
+    got = grouped(neighbours.search(neighbours.build_index(df, 20), df.where("vec_id % 100 = 0").select("vec_id")).collect())
+    place = {i: k for k, i in enumerate(ids)}
+    want = {}
+    for q in queries:
+        s = x @ x[place[q]]
+        order = sorted((-s[k], i) for k, i in enumerate(ids) if i != q)[:20]
+        want[q] = [(i, -d) for d, i in order]
+    assert set(got) == set(queries) and recall(got, want) >= 0.9

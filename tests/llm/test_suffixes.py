@@ -120,6 +120,20 @@ def test_many_rows_without_an_id(spark):
     assert all(v[1:] == ((want[i], 1) if i in want else (0, 0)) for i, v in got.items())
 
 
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_texts_that_repeat_themselves(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "_MOST_AGAIN", most)
+    rng = random.Random(6)
+    other = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["x" * 1000, other(150) + ". Is onhe" * 80 + other(90), ". Is onhe" * 30 + other(300), other(400), "abc" * 21, other(100) + "q" * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for length in (60, 100):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(df, length=length).collect()}
+        assert got == dict(enumerate(brute([t.encode() for t in texts], length)))
+    long = spark.createDataFrame([(1, "x" * 600_000 + other(50))], "doc_id long, text string")
+    assert [(r.n_removed, r.n_spans) for r in suffixes.remove_repeats(long).collect()] == [(600_000, 1)]
+
+
 def test_many_equal_rows(spark):
     """5,000 copies of a text are removed whole, in time in proportion to their number."""
     import time
