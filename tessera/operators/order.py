@@ -32,6 +32,17 @@ def in_ranges(df: DataFrame, *order, part: str = "part") -> DataFrame:
     return reliable(df.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()))
 
 
+def _with(local: DataFrame, sums: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """``local`` with the row of ``sums`` for its range and keys; a null key equals a null key."""
+    names = _free([*local.columns, *sums.columns], *[f"key{i}" for i in range(len(keys) + 1)])
+    for c, name in zip([part, *keys], names, strict=True):
+        sums = sums.withColumnRenamed(c, name)
+    same = F.col(part) == F.col(names[0])
+    for c, name in zip(keys, names[1:], strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return local.join(sums, same).drop(*names)
+
+
 def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``df`` with each row's ``place`` from 0 among the rows of its keys, and their number ``n``.
 
@@ -44,7 +55,7 @@ def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     bases = sums.select(part, *keys, (F.sum(m).over(each.orderBy(part)) - F.col(m)).alias(base), F.sum(m).over(each).alias("n"))
     inside = Window.partitionBy(part, *keys).orderBy(*order)
     local = cut.withColumn(c, F.row_number().over(inside) - 1)
-    return local.join(bases, [part, *keys]).withColumn("place", F.col(base) + F.col(c)).drop(part, c, base)
+    return _with(local, bases, part, keys).withColumn("place", F.col(base) + F.col(c)).drop(part, c, base)
 
 
 def following(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
@@ -55,4 +66,4 @@ def following(df: DataFrame, keys: list[str], order: list[str], column: str, nam
     local = cut.withColumn(name, F.lead(column).over(inside)).withColumn(ends, F.lead(F.lit(1)).over(inside).isNull())
     firsts = cut.groupBy(part, *keys).agg(F.min_by(column, F.struct(*order)).alias(first))
     nexts = firsts.select(part, *keys, F.lead(first).over(Window.partitionBy(*keys).orderBy(part)).alias(after))  # at most RANGES rows a key
-    return local.join(nexts, [part, *keys]).withColumn(name, F.when(F.col(ends), F.col(after)).otherwise(F.col(name))).drop(part, ends, after)
+    return _with(local, nexts, part, keys).withColumn(name, F.when(F.col(ends), F.col(after)).otherwise(F.col(name))).drop(part, ends, after)
