@@ -29,6 +29,8 @@ BITS = 64
 SEED = 42
 #: Members of one anchor that are compared as one numpy block, and members beyond which an anchor is divided into cells.
 COMPARE, MEMBERS = 256, 4096
+#: Distinct fingerprints whose anchors a task works out.
+TASK_FPS = 50_000
 #: Sets of shingles: words of a fingerprint, bits of a block, blocks with anchors of their own, smallest hashes that divide
 #: an anchor. At a similarity of 0.8 a block is within one bit of the other's with probability 0.65, and the three smallest
 #: hashes are the same with 0.51; in one of 12 blocks both hold for all but 8 in 1000 pairs, and most of those that are two
@@ -267,8 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id and text are ignored. Words are cut at ASCII white space after A-Z are lower-cased; texts are read whole.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = linked_fingerprints(classes, max_bits, blocks)
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-classes.count() // TASK_FPS))
+    edges = linked_fingerprints(classes.select("fp").repartition(tasks), max_bits, blocks)  # small rows, but many anchors each
     parts = connected_components(edges)
     named = classes.join(parts, classes.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     smallest = named.groupBy("part").agg(F.min("least").alias("component_id"))
